@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csvloom.llm import byte_bpe, exact_dedup, mixing, sharding, warc_archive
+from csvloom.llm import byte_bpe, exact_dedup, mixing, ngram_join, quality_zstd, sharding, warc_archive
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARDS = 24
+#: Documents of this score or more count as good.
+KEEP_SCORE = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,14 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_quality_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_zstd.score(docs, quality_zstd.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id", quality_zstd.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= KEEP_SCORE).cast("int").alias("predicted")
+    )
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
@@ -54,6 +64,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.curriculum_mix(table(spark, sf_dir, "documents"), WEIGHTS)
     return mix.where("pass = 0").select(
@@ -62,7 +76,7 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_warc_archive, op5_exact_dedup, op6_byte_shards, op8_byte_bpe, op10_curriculum_mix)
+    f.__name__: f for f in (op2_warc_archive, op4_quality_zstd, op5_exact_dedup, op6_byte_shards, op8_byte_bpe, op9_ngram_join, op10_curriculum_mix)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -102,3 +116,17 @@ e AS (SELECT *, list_aggregate(list_transform(range(32), lambda i: substr('ABCDE
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> keep THEN keep END AS refers_to
 FROM e"""
+
+ORACLE_SQL["op9_ngram_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(len(ws) - 3), lambda i: array_to_string(ws[i + 1 : i + 4], ' '))
+        WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT p.a, p.b FROM p JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * i >= 85 * (na.c + nb.c - i)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a)
+SELECT d.doc_id, coalesce(n.c, 0)::BIGINT AS n_shingles, m.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS component_id FROM r GROUP BY 1) m ON m.a = d.doc_id"""

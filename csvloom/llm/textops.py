@@ -113,3 +113,16 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
         span *= 2
     rest = width - span
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
+
+
+def chunks(batch: pa.RecordBatch, text: int, size: int = 2 << 20):
+    """Cut a batch so that the texts of each piece take about ``size`` bytes, or are one."""
+    column = batch.column(text).cast(pa.large_binary())
+    if not len(column):
+        return
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    begin = 0
+    while begin < len(column):
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + size, side="right")) - 1)
+        yield batch.slice(begin, end - begin)
+        begin = end
