@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csvloom.llm import byte_bpe, exact_dedup, mixing, ngram_join, quality_zstd, sharding, warc_archive
+from csvloom.llm import byte_bpe, embedding_dedup, exact_dedup, mixing, ngram_join, quality_zstd, sharding, substring_dedup, warc_archive
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Weights of the sources in order of their names, repeating.
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = warc_archive.read_archive(warc_archive.write_archive(table(spark, sf_dir, "pages")))
     return records.select(
@@ -54,6 +60,11 @@ def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+    return found.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
     return byte_bpe.decode(encoded, RANKS, public_tokenizers.PATTERN).select(
@@ -76,7 +87,7 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_warc_archive, op4_quality_zstd, op5_exact_dedup, op6_byte_shards, op8_byte_bpe, op9_ngram_join, op10_curriculum_mix)
+    f.__name__: f for f in (op1_substring_dedup, op2_warc_archive, op4_quality_zstd, op5_exact_dedup, op6_byte_shards, op7_embedding_dedup, op8_byte_bpe, op9_ngram_join, op10_curriculum_mix)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -130,3 +141,24 @@ e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT doc_id AS a, doc_id AS c FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.a)
 SELECT d.doc_id, coalesce(n.c, 0)::BIGINT AS n_shingles, m.component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS component_id FROM r GROUP BY 1) m ON m.a = d.doc_id"""
+
+ORACLE_SQL["op1_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, i, array_to_string(ws[i + 1 : i + 50], ' ') AS win FROM (
+  SELECT doc_id, ws, unnest(range(len(ws) - 49)) AS i FROM w WHERE len(ws) >= 50)),
+m AS (SELECT win, min(doc_id) AS least FROM g GROUP BY 1),
+r AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS pos FROM g JOIN m USING (win) WHERE least < doc_id),
+k AS (SELECT doc_id, p, ws[p + 1] AS word FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS p FROM w)),
+t AS (SELECT k.doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM k LEFT JOIN r ON r.doc_id = k.doc_id AND r.pos = k.p
+      WHERE r.pos IS NULL GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(t.n, 0))::BIGINT AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM w LEFT JOIN t USING (doc_id)"""
+ORACLE_SQL["op7_embedding_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.a),
+m AS (SELECT a, min(c) AS component_id FROM r GROUP BY 1),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
+SELECT v.vec_id, coalesce(n.n_links, 0)::BIGINT AS n_links, m.component_id, v.vec_id = m.component_id AS kept
+FROM v JOIN m ON m.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id"""
