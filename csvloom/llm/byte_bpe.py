@@ -30,16 +30,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from csvloom.llm.textops import MULTIPLIERS, run_hashes
+from csvloom.llm.textops import MULTIPLIERS, chunks, run_hashes
 
 #: Pieces held in each of the two generations of a worker's dictionary.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 100_000
 #: Longer pieces are not held.
 CACHE_BYTES = 64
 #: Fixed value: the pattern whose matches numpy finds; any other is left to the regex engine.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters of text encoded together.
-CHUNK_CHARS = 1 << 20
+#: Bytes of text encoded together.
+CHUNK_BYTES = 1 << 18
 
 
 class PrefixTable:
@@ -378,28 +378,18 @@ def _bpe(content: bytes, pattern: str) -> ByteBpe:
     return _HELD[key]
 
 
-def _chunks(texts: pa.Array) -> Iterator[list[str]]:
-    held, chars = [], 0
-    for t in texts.to_pylist():
-        held.append(t)
-        chars += len(t)
-        if chars >= CHUNK_CHARS:
-            yield held
-            held, chars = [], 0
-    yield held
-
-
 def _ranks(df: DataFrame, ranks_path: str):
     """The rank file (under a megabyte, whatever the corpus) read on the driver and sent once to each executor."""
     with open(ranks_path, "rb") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """One row per input row: id and ``ids`` (binary, little-endian unsigned 32-bit).
 
-    A null text is the empty one and has no ids.  Whole texts of any length; a piece of n bytes takes time
-    in proportion to n.  Other columns do not matter.
+    With ``decoded`` also ``bytes``, what the ids stand for, made from them in the same pass.  A null text is
+    the empty one and has no ids.  Whole texts of any length; a piece of n bytes takes time in proportion
+    to n.  Other columns do not matter.
     """
     sent = _ranks(docs, ranks_path)
     narrow = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
@@ -408,12 +398,12 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _bpe(sent.value, pattern)
         for b in batches:
-            out = []
-            for texts in _chunks(b.column(1)):
-                out += bpe.encode_batch(texts)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["__id", "ids"])
+            for c in chunks(b, 1, CHUNK_BYTES):
+                out = bpe.encode_batch(c.column(1).to_pylist())
+                more = [pa.array([bpe.decode(np.frombuffer(x, dtype="<u4")) for x in out], pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.array(out, pa.binary()), *more], ["__id", "ids", "bytes"][: 2 + decoded])
 
-    return narrow.mapInArrow(run, f"__id {kind}, ids binary").withColumnRenamed("__id", id_col)
+    return narrow.mapInArrow(run, f"__id {kind}, ids binary" + ", bytes binary" * decoded).withColumnRenamed("__id", id_col)
 
 
 def decode(encoded: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
