@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from csvloom.llm import byte_bpe, embedding_dedup, exact_dedup, mixing, ngram_join, quality_zstd, sharding, substring_dedup, warc_archive
+from csvloom.llm import byte_bpe, embedding_dedup, exact_dedup, mixing, ngram_join, pii_surrogates, quality_zstd, sharding, substring_dedup, warc_archive
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARDS = 24
+#: Key of the surrogates; production passes its own secret to the operator.
+PII_KEY = "surrogates of the registered query"
 #: Documents of this score or more count as good.
 KEEP_SCORE = 0.3
 
@@ -39,6 +41,10 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.replace_entities(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op4_quality_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = quality_zstd.score(docs, quality_zstd.fit(docs, table(spark, sf_dir, "labels")))
@@ -66,8 +72,8 @@ def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
-    return byte_bpe.decode(encoded, RANKS, public_tokenizers.PATTERN).select(
+    encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN, decoded=True)
+    return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -87,7 +93,7 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_warc_archive, op4_quality_zstd, op5_exact_dedup, op6_byte_shards, op7_embedding_dedup, op8_byte_bpe, op9_ngram_join, op10_curriculum_mix)
+    f.__name__: f for f in (op1_substring_dedup, op2_warc_archive, op3_pii_surrogates, op4_quality_zstd, op5_exact_dedup, op6_byte_shards, op7_embedding_dedup, op8_byte_bpe, op9_ngram_join, op10_curriculum_mix)
 }
 
 ORACLE_SQL: dict[str, str] = {
