@@ -1,4 +1,68 @@
-STAGES = []
+"""From raw documents to token ids: quality, exact copies, near copies, mixing, encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on everything its predecessor kept; :func:`run` writes every
+stage's result to the session's shared folder and reads it again.  All stages but the last return the
+columns of ``documents``.  Names that begin with two underscores are the stages' own; other extra columns
+pass through.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from csvloom.llm import byte_bpe, exact_dedup, mixing, ngram_join, quality_zstd
+from csvloom.llm.common import keep_rows, partitions, stage
+from csvloom.llm.queries import KEEP_SCORE, RANKS, WEIGHTS
+
+#: Near copies: word n-grams and percent of similarity.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier does not reject."""
+    model = quality_zstd.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_zstd.rate_rows(docs, model, name="__score").where(F.col("__score") >= KEEP_SCORE).select(*docs.columns)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id."""
+    return keep_rows(docs, exact_dedup.exact_dedup(docs).select("doc_id", "kept"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id."""
+    groups = ngram_join.jaccard_components(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
+    return keep_rows(docs, groups.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in order of training position."""
+    columns = docs.columns
+    hashed = docs.withColumn("__th", F.xxhash64("text"))
+    taken = mixing.curriculum_mix(hashed, WEIGHTS, carry=["__th"]).where("taken > 0").select(
+        F.col("doc_id").alias("__id"), F.col("__th").alias("__mth"), F.col("position").alias("__position"), F.col("pass").alias("__pass")
+    )
+    rows = hashed.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__mth")))
+    order = ["__position", "doc_id", "__pass"]
+    return rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select(*columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document (little-endian unsigned 32-bit) and their number."""
+    encoded = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
+    return encoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality", quality), ("exact_copies", exact_copies), ("near_copies", near_copies), ("mix", mix), ("tokens", tokens)]
+
+#: Compression, and the merges of the ranks, are not expressible in SQL; tests hold run() against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, step in STAGES:
+        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -86,3 +86,24 @@ def flag(df: DataFrame, words: DataFrame, name: str, *cols: Column, bits: int =
 def n_words(text: Column) -> Column:
     """Number of words of a text; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def keep_rows(docs: DataFrame, verdict: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, given (id, ``kept``) for every row.
+
+    Rows whose id is surely not among the dropped ones pass in the scan, told by a bitmap of fixed size; only
+    the others travel, to meet the kept ids.  An id that has a kept and a dropped row stays; rows that
+    repeat it and its text stay once.
+    """
+    last = F.lit((1 << 63) - 1)  # stands for a null id
+    key = F.coalesce(F.col(id_col).cast("long"), last)
+    known = stage(verdict.select(key.alias("__key"), "kept"), "verdict")
+    dropped = known.where("not kept").select("__key").distinct()
+    marked = flag(docs.withColumn("__key", key), bitmap(dropped, "__key"), "__maybe", F.col("__key"))
+    looked = (
+        marked.where("__maybe")
+        .join(known.where("kept").select("__key").distinct().hint("shuffle_hash"), "__key", "left_semi")
+        .withColumn("__th", F.xxhash64(text_col))
+        .dropDuplicates(["__key", "__th"])
+    )
+    return marked.where("not __maybe").select(*docs.columns).unionByName(looked.select(*docs.columns))

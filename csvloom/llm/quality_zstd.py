@@ -25,6 +25,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 #: Rows of each label that the fit takes at most.
 MAX_DOCS = 1500
@@ -143,7 +144,7 @@ def rate_rows(docs: DataFrame, model: Model, text_col: str = "text", name: str =
     """The rows of ``docs`` with all their columns and the score added."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
-    schema = docs.schema.add(name, "double")
+    schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rate = sent.value.scorer()
