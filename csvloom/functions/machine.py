@@ -79,7 +79,7 @@ def range_function(data: bytes, d: Dialect, block: int = 1 << 16) -> bytes:
     held = IDENTITY
     # a run of bytes that mean nothing acts like its first one
     plain = np.ones(256, dtype=bool)
-    for b in (d.delimiter, *d.terminators, d.quote, d.escape, d.comment, *(d.comment_ends if d.comment is not None else ())):
+    for b in (d.delimiter, *d.terminators, d.quote, d.escape, d.comment, *d.comment_ends):
         if b is not None:
             plain[b] = False
     whole = np.frombuffer(data, dtype=np.uint8)
