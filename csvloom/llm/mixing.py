@@ -62,7 +62,7 @@ def training_position(words: Column, target: Column, a: Column) -> Column:
     y = F.when(target > 0, words / target).otherwise(F.lit(0.0))
     b = F.lit(1.0) - a
     # the stable form of the root, also where b is 0
-    return F.lit(2.0) * y / (a + F.sqrt(F.greatest(a * a + F.lit(4.0) * b * y, F.lit(0.0))))
+    return F.when(y <= 0, F.lit(0.0)).otherwise(F.lit(2.0) * y / (a + F.sqrt(F.greatest(a * a + F.lit(4.0) * b * y, F.lit(0.0)))))
 
 
 def curriculum_mix(
