@@ -92,6 +92,9 @@ def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: CRC-32 of the sixteen half bytes.
+_HALF = "([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]::BIGINT[])"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_substring_dedup, op2_warc_archive, op3_pii_surrogates, op4_quality_zstd, op5_exact_dedup, op6_byte_shards, op7_embedding_dedup, op8_byte_bpe, op9_ngram_join, op10_curriculum_mix)
 }
@@ -103,18 +106,11 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY text_sha256) AS keep_id,
        count(*) OVER (PARTITION BY text_sha256) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY text_sha256) AS kept, text_sha256
 FROM d""",
-    "op6_byte_shards": """
-WITH tbl AS (
-  SELECT list(CAST(c AS UBIGINT) ORDER BY i) AS t FROM (
-    SELECT i, list_reduce(list_prepend(i, range(8)::BIGINT[]), lambda c, k:
-             CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
-    FROM (SELECT unnest(range(256)) AS i))),
-d AS (SELECT doc_id, coalesce(strlen(text), 0) + 8 AS size, coalesce(hex(encode(text)), '') AS h FROM documents),
-crc AS (
-  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(len(h) // 2), lambda j:
-           (strpos('0123456789ABCDEF', h[2 * j + 1]) * 16 - 16 + strpos('0123456789ABCDEF', h[2 * j + 2]) - 1)::UBIGINT)),
-           lambda c, b: xor(c // 256, t[(xor(c, b) % 256)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32
-  FROM d, tbl),
+    # half bytes, the low one of each byte first
+    "op6_byte_shards": f"""
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) + 8 AS size, flatten(list_transform(regexp_extract_all(coalesce(hex(encode(text)), ''), '..'),
+             lambda x: [strpos('0123456789ABCDEF', x[2]) - 1, strpos('0123456789ABCDEF', x[1]) - 1])) AS half FROM documents),
+crc AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, half), lambda c, b: xor(c // 16, {_HALF}[xor(c, b) % 16 + 1])), 4294967295) AS text_crc32 FROM d),
 p AS (SELECT *, sum(size) OVER (ORDER BY doc_id) AS e, sum(size) OVER () AS total FROM crc),
 s AS (SELECT *, least(23, ((2 * e - size) * 24) // (2 * total))::INT AS shard FROM p)
 SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
