@@ -53,11 +53,14 @@ def exact_dedup(
         "dedup-hash",
     )
     groups = hashed.groupBy("__key").agg(F.max(F.struct("__id", "__tag")).alias("__keep"), F.count("*").alias("__size"))
-    return hashed.join(groups, "__key").select(
+    # written, so that the join's sides are plain exchanges, of which Spark splits one that a large group makes long
+    shared = stage(groups.where("__size > 1").withColumnRenamed("__key", "__shared"), "dedup-groups")
+    keep = F.coalesce(F.col("__keep"), F.struct("__id", "__tag"))
+    return hashed.join(shared, F.col("__key") == F.col("__shared"), "left").select(
         F.col("__id").alias(id_col),
-        F.col("__keep.__id").alias("keep_id"),
-        F.col("__size").alias("group_size"),
-        (F.col("__tag") == F.col("__keep.__tag")).alias("kept"),
+        keep["__id"].alias("keep_id"),
+        F.coalesce("__size", F.lit(1).cast("long")).alias("group_size"),
+        (F.col("__tag") == keep["__tag"]).alias("kept"),
         F.col("__h").alias("full_hash"),
         *(F.col(k).alias(c) for k, c in zip(taken, carry, strict=True)),
     )
