@@ -338,7 +338,8 @@ def jaccard_components(
     links = connected_components(verify(narrow, members, n, percent, block))
 
     rooted = rows.select("id", "node", "size").join(links, "node", "left").select("id", "size", F.coalesce("component", "node").alias("root"))
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id"))
+    # written, so that the join's sides are plain exchanges, of which Spark splits one that a large group makes long
+    least = stage(rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id")), "join-least")
     linked = rooted.where("root is not null").join(least, "root").select("id", "size", "component_id")
     alone = rooted.where("root is null").select("id", "size", F.col("id").alias("component_id"))
     return linked.unionByName(alone).select(
