@@ -164,6 +164,15 @@ def meet(rows: DataFrame, percent: int, most: int) -> DataFrame:
         names = ["a", "b", "size_a", "size_b", "loose"]
 
         def pairs(group, out):
+            if len(group) > 8:
+                n, node, p = (np.array(x, dtype=np.int64) for x in zip(*group))
+                i, j = np.triu_indices(len(group), 1)
+                some = (n[i] * 100 >= percent * n[j]) & (np.minimum(n[i] - p[i], n[j] - p[j]) >= need(n[i], n[j], percent))
+                i, j = i[some], j[some]
+                turn = node[i] > node[j]
+                i, j = np.where(turn, j, i), np.where(turn, i, j)
+                out += zip(node[i].tolist(), node[j].tolist(), n[i].tolist(), n[j].tolist(), [False] * len(i))
+                return
             for j, (nb, b, pb) in enumerate(group):
                 for na, a, pa_ in group[:j]:
                     if na * 100 >= percent * nb and min(na - pa_, nb - pb) >= need(na, nb, percent):
@@ -174,6 +183,11 @@ def meet(rows: DataFrame, percent: int, most: int) -> DataFrame:
                 if na * 100 >= percent * nb:
                     out.append((a, b, na, nb, True) if a < b else (b, a, nb, na, True))
 
+        def made(out):
+            # a pair meets at many n-grams: once per batch is enough
+            cols = list(zip(*dict.fromkeys(out))) or [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], names)
+
         for batch in batches:
             out: list[tuple] = []
             token, node, size, place = (batch.column(i).to_numpy() for i in range(4))
@@ -196,16 +210,14 @@ def meet(rows: DataFrame, percent: int, most: int) -> DataFrame:
                     if count > most:
                         chain(held, out)
                         held = held[-1:]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[f] for r in out], t) for f, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], names
-            )
+            yield made(out)
         out = []
         if count <= most:
             pairs(held, out)
-        yield pa.RecordBatch.from_arrays([pa.array([r[f] for r in out], t) for f, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], names)
+        yield made(out)
 
-    made = dealt.mapInArrow(run, "a long, b long, size_a int, size_b int, loose boolean")
-    return made.groupBy("a", "b", "size_a", "size_b").agg(F.max("loose").alias("loose"))
+    found = dealt.mapInArrow(run, "a long, b long, size_a int, size_b int, loose boolean")
+    return found.groupBy("a", "b", "size_a", "size_b").agg(F.max("loose").alias("loose"))
 
 
 def suffix_filter(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame:
