@@ -6,8 +6,9 @@ the minimiser's bucket, where the windows are sorted and equal ones, word for wo
 
 1. The first scan sends only (minimiser, id).  Minimisers of one document share nothing; the others go into
    a bitmap of fixed size.
-2. The second scan packs and sends the super-k-mers whose minimiser may be shared.  Those of a minimiser
-   with very many rows are cut into single windows that travel under their own hash: there the rows stand
+2. The second scan packs and sends the super-k-mers whose minimiser may be shared.  A string that the task
+   has already met in a document with a smaller id is settled on the spot and sends its range of words
+   instead, so copies do not pile up in a bucket.  Those of a minimiser with very many rows are cut into single windows that travel under their own hash: there the rows stand
    in order of id and the smallest comes first, so such a bucket needs no memory.
 3. Each bucket yields the word ranges to remove, which are joined to the documents.
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from csvloom.llm.common import partitions, stage
-from csvloom.llm.textops import Words, chunks, gram_hashes, run_hashes, sliding_min
+from csvloom.llm.textops import Words, chunks, gram_hashes, mix, run_hashes, sliding_min
 
 WINDOW = 50
 #: Words of the runs whose smallest hash is the minimiser.
@@ -36,6 +37,10 @@ SHARED_BITS = 26
 #: Rows from which a minimiser counts as hot; never so low that more than HOT_LIST minimisers could be.
 HOT_ROWS = 5000
 HOT_LIST = 1 << 20
+#: Bytes of strings that a task remembers to settle repeats.
+REMEMBER = 24 << 20
+#: What a row carries: a super-k-mer, a single window, or a range that is settled.
+MANY, SINGLE, SETTLED = 0, 1, 2
 #: Windows of a super-k-mer at most; longer runs of one minimiser are cut.
 LONGEST = 512
 
@@ -91,7 +96,7 @@ def _bitmap(shared: DataFrame, bits: int) -> np.ndarray:
 
 
 def _covered(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Ranges of words to remove, from rows (key, single, id, th, start, packed) sorted by key, single and id."""
+    """Ranges of words to remove, from rows (key, kind, id, th, start, n, packed) sorted by key, kind and id."""
     out: tuple[list, ...] = ([], [], [], [])
     group: tuple | None = None
     rows: list[tuple] = []
@@ -139,14 +144,16 @@ def _covered(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         return made
 
     for batch in batches:
-        key, single, doc, th, start, packed = (batch.column(i).to_pylist() for i in range(6))
+        key, kind, doc, th, start, n, packed = (batch.column(i).to_pylist() for i in range(7))
         for i in range(len(key)):
-            if (key[i], single[i]) != group:
+            if (key[i], kind[i]) != group:
                 finish()
-                group = (key[i], single[i])
+                group = (key[i], kind[i])
                 rows.clear()
                 least.clear()
-            if single[i]:
+            if kind[i] == SETTLED:
+                emit(doc[i], th[i], start[i], start[i] + n[i] - 1 + window)
+            elif kind[i] == SINGLE:
                 if least.setdefault(packed[i], doc[i]) < doc[i]:
                     emit(doc[i], th[i], start[i], start[i] + window)
             else:
@@ -170,6 +177,8 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, k: int = K, hot_rows:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sent.value[0], dtype=np.uint64)
         known_hot = np.frombuffer(sent.value[1], dtype=np.int64)
+        met: dict[bytes, int] = {}
+        room = REMEMBER
         for b in batches:
             for c in chunks(b, 2):
                 words, start, stop, least = window_minimisers(c.column(2), window, k)
@@ -193,19 +202,42 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, k: int = K, hot_rows:
                     start = np.concatenate([start[~is_hot], at])
                     stop = np.concatenate([stop[~is_hot], at + 1])
                     key = np.concatenate([key[~is_hot], own])
-                    single = np.concatenate([np.zeros((~is_hot).sum(), dtype=bool), np.ones(len(at), dtype=bool)])
+                    kind = np.concatenate([np.full((~is_hot).sum(), MANY), np.full(len(at), SINGLE)])
                 else:
-                    single = np.zeros(len(start), dtype=bool)
-                doc = np.searchsorted(words.first, start, side="right") - 1
+                    kind = np.full(len(start), MANY)
+                place = np.searchsorted(words.first, start, side="right") - 1
                 data = flat.tobytes()
-                packed = [data[i:j] for i, j in zip(off[start].tolist(), (off[stop + window - 1] - 1).tolist())]
+                packed: list[bytes | None] = [data[i:j] for i, j in zip(off[start].tolist(), (off[stop + window - 1] - 1).tolist())]
+                doc = c.column(0).to_numpy()[place]
+                settled = []
+                for r, (text, i) in enumerate(zip(packed, doc.tolist())):
+                    held = met.get(text)
+                    if held is not None and held < i:
+                        settled.append(r)
+                        packed[r] = None
+                    else:
+                        if held is None:
+                            room -= len(text) + 100
+                            if room < 0:
+                                met, room = {}, REMEMBER
+                        met[text] = i
+                kind[settled] = SETTLED
+                key[settled] = mix((doc[settled] * LONGEST + start[settled]).astype(np.uint64)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(single), c.column(0).take(pa.array(doc)), c.column(1).take(pa.array(doc)), pa.array((start - words.first[doc]).astype(np.int32)), pa.array(packed, pa.binary())],
-                    ["key", "single", "id", "th", "start", "packed"],
+                    [
+                        pa.array(key),
+                        pa.array(kind.astype(np.int32)),
+                        pa.array(doc),
+                        c.column(1).take(pa.array(place)),
+                        pa.array((start - words.first[place]).astype(np.int32)),
+                        pa.array((stop - start).astype(np.int32)),
+                        pa.array(packed, pa.binary()),
+                    ],
+                    ["key", "kind", "id", "th", "start", "n", "packed"],
                 )
 
-    sent_rows = docs.mapInArrow(pack, "key long, single boolean, id long, th long, start int, packed binary")
-    dealt = sent_rows.repartition(partitions(spark), "key", "single").sortWithinPartitions("key", "single", "id")
+    sent_rows = docs.mapInArrow(pack, "key long, kind int, id long, th long, start int, n int, packed binary")
+    dealt = sent_rows.repartition(partitions(spark), "key", "kind").sortWithinPartitions("key", "kind", "id")
     return dealt.mapInArrow(lambda batches: _covered(batches, window), "id long, th long, a int, b int")
 
 
