@@ -31,11 +31,12 @@ TITLES = {
 }
 #: Consonants, vowels and the endings (m, f, neutral) of names by script (fixed values).
 SCRIPTS = {
-    "Latin": ("bdfgklmnprstvz", "aeiou", ("n", "a", "s")),
-    "Cyrillic": ("бвгдзклмнпрстф", "аеиоу", ("н", "а", "с")),
-    "Greek": ("βγδζθκλμνπρστφ", "αεηιου", ("ς", "α", "ν")),
+    "Latin": ("bdfgklmnprstvz", "aeiou", "nas"),
+    "Cyrillic": ("бвгдзклмнпрстф", "аеиоу", "нас"),
+    "Greek": ("βγδζθκλμνπρστφ", "αεηιου", "ςαν"),
 }
 _ANY_TITLE = "|".join(t for k in TITLES.values() for t in k)
+_PART = r"\p{Lu}[\p{L}'’-]{0,30}"
 #: The kinds of mention, in order of preference where several could begin at one place.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
@@ -45,22 +46,46 @@ KINDS = {
     "phone": r"(?<![\w.])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w.])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\d-])",
     "ssn": r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)",
-    "name": rf"(?<=(?<!\p{{L}})(?:{_ANY_TITLE})\.? )\p{{Lu}}[\p{{L}}'’-]*+(?: \p{{Lu}}[\p{{L}}'’-]*+){{0,2}}",
+    # up to three parts after a title, each a mention of its own
+    "name": rf"(?=\p{{Lu}})(?<= )(?<=(?<!\p{{L}})(?:{_ANY_TITLE})\.? (?:|{_PART} |{_PART} {_PART} ))\p{{Lu}}[\p{{L}}'’-]*+",
 }
-PATTERN = "|".join(KINDS.values())
+#: Mentions begin where no letter or digit stands before them: a cheap test that most places fail.
+PATTERN = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(KINDS.values())})"
 #: Rounds of keying anew before the space of surrogates counts as used up.
 ROUNDS = 20
 
 
-def _kind(mention: Column) -> Column:
-    out = F.when(F.contains(mention, F.lit("@")), F.lit("email")).when(mention.rlike(r"^\p{Lu}[\p{L}'’ -]*$"), F.lit("name"))
+#: Kinds whose letters are replaced too, not only their digits.
+LETTERED = ("email", "secret", "iban")
+ALPHABET, HEX_LETTERS = "abcdefghijklmnopqrstuvwxyz", "abcdef"
+
+
+def _kind(m: Column, i: Column, between: Column, found: Column) -> Column:
+    """The kind of the i-th mention; of a part of a name also its role: surname if the last, else the title's gender."""
+    last = ~((F.get(between, i + 1) == " ") & F.coalesce(F.get(found, i + 1).rlike(r"^\p{Lu}[^\d]*$"), F.lit(False)))
+    role = F.when(last, F.lit("name-surname"))
+    for gender in ("f", "m"):
+        role = role.when(F.get(between, i).rlike(rf"(?<!\p{{L}})(?:{'|'.join(TITLES[gender])})\.? $"), F.lit(f"name-{gender}"))
+    out = F.when(F.contains(m, F.lit("@")), F.lit("email")).when(m.rlike(r"^\p{Lu}[\p{L}'’-]*$"), role.otherwise(F.lit("name-n")))
     for name in ("secret", "iban", "card", "ssn", "ip"):
-        out = out.when(mention.rlike(f"^(?:{KINDS[name]})$"), F.lit(name))
+        out = out.when(m.rlike(f"^(?:{KINDS[name]})$"), F.lit(name))
     return out.otherwise(F.lit("phone"))
 
 
-def _canonical(kind: Column, mention: Column) -> Column:
-    return F.when(kind.isin("card", "phone", "ssn"), F.regexp_replace(mention, r"[^\d+]", "")).otherwise(F.lower(mention))
+def _with_mentions(docs: DataFrame) -> DataFrame:
+    """Adds ``between`` (what stands around the mentions of ``text``) and ``found``: structs (m, kind, form)."""
+    some = F.col("text").rlike(r"[0-9@]") | F.col("text").rlike(rf"(?<!\p{{L}})(?:{_ANY_TITLE})\.? \p{{Lu}}") | F.col("text").rlike("[0-9a-fA-F]{32}")
+    docs = docs.withColumn("some", some)  # most texts have nothing that any kind needs
+    cut = docs.withColumns(
+        {
+            "between": F.when(F.col("some"), F.split("text", PATTERN, -1)).otherwise(F.array("text")),
+            "found": F.when(F.col("some"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")),
+        }
+    ).drop("some")
+    number = F.lit("card"), F.lit("phone"), F.lit("ssn")
+    kinds = cut.withColumn("found", F.transform("found", lambda m, i: F.struct(m.alias("m"), _kind(m, i, F.col("between"), F.col("found")).alias("kind"))))
+    form = lambda x: F.when(x["kind"].isin(*number), F.regexp_replace(x["m"], r"[^\d+]", "")).otherwise(F.lower(x["m"]))
+    return kinds.withColumn("found", F.transform("found", lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), form(x).alias("form"))))
 
 
 def _stream(key: str, kind: Column, form: Column, attempt: Column) -> Column:
@@ -68,33 +93,39 @@ def _stream(key: str, kind: Column, form: Column, attempt: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.sha2(F.lit(key), 256), kind, attempt.cast("string"), form), 512)
 
 
-def _nibble(stream: Column, i: Column, base: int) -> Column:
-    """A number below ``base`` from four hexadecimal digits that belong to place ``i`` of the stream (repeating, shifted)."""
+def _nibble(stream: Column, i: Column, base: Column | int) -> Column:
+    """A number below ``base`` from four hexadecimal digits that belong to place ``i`` of the stream."""
     at = (i * F.lit(5)) % F.lit(121) + F.lit(1)
-    return F.conv(F.substring(stream, at, F.lit(4)), 16, 10).cast("long") % F.lit(base)
+    return F.conv(F.substring(stream, at, F.lit(4)), 16, 10).cast("long") % (F.lit(base) if isinstance(base, int) else base)
+
 
+def _letter(stream: Column, i: Column, of: Column) -> Column:
+    return F.substring(of, (_nibble(stream, i, F.length(of)) + 1).cast("int"), F.lit(1))
 
-def _letters(stream: Column, i: Column, of: str) -> Column:
-    return F.substring(F.lit(of), (_nibble(stream, i, len(of)) + 1).cast("int"), F.lit(1))
 
+def _shaped(m: Column, kind: Column, stream: Column) -> Column:
+    """Digits (of some kinds also letters) replaced, each by one of its class; places count what is replaced.
 
-def _shaped(mention: Column, stream: Column, counted: str, letters: str, keep: int = 0) -> Column:
-    """Each character of the mention that ``counted`` matches replaced by one of its class; the last ``keep`` characters stay."""
-    chars = F.split(mention, "")
-    place = F.transform(F.sequence(F.lit(1), F.greatest(F.length(mention), F.lit(1))), lambda i: F.length(F.regexp_replace(F.substring(mention, F.lit(1), i), f"[^{counted}]", "")))
+    What stays: the last label of an address, the first digit of a number with a plus, the country of an account.
+    """
+    lettered = kind.isin(*LETTERED)
+    begin = F.when(kind == "iban", F.lit(2)).when(F.startswith(m, F.lit("+")), F.lit(2)).otherwise(F.lit(0))
+    end = F.length(m) - F.when(kind == "email", F.length(F.regexp_extract(m, r"(\.[^.@]*)$", 1))).otherwise(F.lit(0))
+    latin = F.when(kind == "secret", F.lit(HEX_LETTERS)).otherwise(F.lit(ALPHABET))
 
     def one(c: Column, i: Column) -> Column:
-        n = F.get(place, i)
-        new = F.when(c.rlike(r"^\d$"), _nibble(stream, n, 10).cast("string"))
+        so_far = F.substring(m, F.lit(1), i + 1)
+        n = F.length(F.when(lettered, F.regexp_replace(so_far, r"[^\p{L}\p{N}]", "")).otherwise(F.regexp_replace(so_far, r"\D", "")))
+        of = latin
         for script, (consonants, vowels, _) in SCRIPTS.items():
             if script != "Latin":
-                new = new.when(c.rlike(rf"^\p{{Is{script}}}$"), _letters(stream, n, consonants + vowels))
-        new = new.otherwise(_letters(stream, n, letters))
+                of = F.when(c.rlike(rf"^\p{{Is{script}}}$"), F.lit(consonants + vowels)).otherwise(of)
+        of = F.when(c.rlike(r"^\d$"), F.lit("0123456789")).otherwise(of)
+        new = _letter(stream, n, of)
         new = F.when(c.rlike(r"^\p{Lu}$"), F.upper(new)).otherwise(new)
-        free = c.rlike(f"^[{counted}]$") & (i < F.length(mention) - F.lit(keep))
-        return F.when(free, new).otherwise(c)
+        return F.when((i >= begin) & (i < end) & (c.rlike(r"^\d$") | (lettered & c.rlike(r"^[\p{L}\p{N}]$"))), new).otherwise(c)
 
-    return F.array_join(F.transform(F.filter(chars, lambda c: c != ""), one), "")
+    return F.array_join(F.transform(F.filter(F.split(m, ""), lambda c: c != ""), one), "")
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -104,84 +135,46 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x))
 
 
-def _checked(mention: Column, made: Column) -> Column:
+def _checked(m: Column, made: Column) -> Column:
     """Give a card number a valid check digit if the original had one."""
-    digits, new = (F.regexp_replace(c, r"\D", "") for c in (mention, made))
+    digits, new = (F.regexp_replace(c, r"\D", "") for c in (m, made))
     short = F.concat(F.substring(new, F.lit(1), F.length(new) - 1), F.lit("0"))
     check = ((F.lit(10) - _luhn_sum(short) % 10) % 10).cast("string")
     return F.when(_luhn_sum(digits) % 10 == 0, F.concat(F.substring(made, F.lit(1), F.length(made) - 1), check)).otherwise(made)
 
 
-def _name(token: Column, role: Column, stream: Column, attempt: Column) -> Column:
-    """A name of the token's script: syllables, then the ending of the role (given name by gender, or surname)."""
-    out = None
-    for script, (consonants, vowels, ends) in SCRIPTS.items():
-        syllables = F.array_join(
-            F.transform(F.sequence(F.lit(0), F.lit(1) + F.least(attempt, F.lit(6))), lambda i: F.concat(_letters(stream, i * 2 + 1, consonants), _letters(stream, i * 2 + 2, vowels))), ""
-        )
-        made = F.concat(syllables, F.when(role == "m", F.lit(ends[0])).when(role == "f", F.lit(ends[1])).when(role == "n", F.lit(ends[2])).otherwise(_letters(stream, F.lit(20), consonants)))
-        out = (F.when if out is None else out.when)(token.rlike(rf"\p{{Is{script}}}"), made)
-    made = out.otherwise(made)
-    return F.when((F.upper(token) == token) & (F.length(token) > 1), F.upper(made)).otherwise(F.initcap(made))
-
-
-def _surrogate(key: str, kind: Column, mention: Column, attempt: Column) -> Column:
-    """The surrogate of a mention other than a name; of its canonical form when that is given as the mention."""
-    stream = _stream(key, kind, _canonical(kind, mention), attempt)
-    octet = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_nibble(stream, i, 254) + 1).cast("string")), ".")
-    tail = F.regexp_extract(mention, r"(\.[^.@]*)$", 1)  # the last label of an address stays
-    body = F.substring(mention, F.lit(1), F.length(mention) - F.length(tail))
-    word = "abcdefghijklmnopqrstuvwxyz"
-    return (
-        F.when(kind == "email", F.concat(_shaped(body, stream, r"\p{L}\p{N}", word), tail))
-        .when(kind == "secret", _shaped(mention, stream, "0-9A-Za-z", "abcdef"))
-        .when(kind == "iban", F.concat(F.substring(mention, 1, 2), _shaped(F.substring(mention, F.lit(3), F.length(mention)), stream, "0-9A-Z", word)))
-        .when(kind == "card", _checked(mention, _shaped(mention, stream, r"\d", word)))
-        .when(kind == "ip", octet)
-        .when(F.substring(mention, 1, 1) == "+", F.concat(F.substring(mention, 1, 2), _shaped(F.substring(mention, F.lit(3), F.length(mention)), stream, r"\d", word)))
-        .otherwise(_shaped(mention, stream, r"\d", word))
+def _name(m: Column, kind: Column, stream: Column, attempt: Column) -> Column:
+    """A name of the same script: syllables, more of them at later attempts, then the ending of the role."""
+    pick = lambda k: F.when(m.rlike(r"\p{IsCyrillic}"), F.lit(SCRIPTS["Cyrillic"][k])).when(m.rlike(r"\p{IsGreek}"), F.lit(SCRIPTS["Greek"][k])).otherwise(F.lit(SCRIPTS["Latin"][k]))
+    consonants, vowels, ends = pick(0), pick(1), pick(2)
+    syllables = F.array_join(
+        F.transform(F.sequence(F.lit(0), F.lit(1) + F.least(attempt, F.lit(6))), lambda i: F.concat(_letter(stream, i * 2 + 1, consonants), _letter(stream, i * 2 + 2, vowels))), ""
     )
+    at = F.when(kind == "name-m", F.lit(1)).when(kind == "name-f", F.lit(2)).otherwise(F.lit(3))
+    made = F.concat(syllables, F.when(kind == "name-surname", _letter(stream, F.lit(20), consonants)).otherwise(F.substring(ends, at, F.lit(1))))
+    return F.when((F.upper(m) == m) & (F.length(m) > 1), F.upper(made)).when(F.lower(m) == m, made).otherwise(F.initcap(made))
 
 
-def _role(before: Column, i: Column, n: Column) -> Column:
-    """Of the i-th of n parts of a name after a title: surname if the last, else by the title's gender."""
-    out = F.when(i == n - 1, F.lit("surname"))
-    for gender in ("f", "m"):
-        out = out.when(before.rlike(rf"(?<!\p{{L}})(?:{'|'.join(TITLES[gender])})\.? $"), F.lit(gender))
-    return out.otherwise(F.lit("n"))
-
-
-def _mentions(text: Column) -> tuple[Column, Column]:
-    """What stands between the mentions of a text, and the mentions."""
-    return F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+def _surrogate(m: Column, kind: Column, stream: Column, attempt: Column) -> Column:
+    octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (_nibble(stream, i, 254) + 1).cast("string")), ".")
+    shaped = _shaped(m, kind, stream)
+    return F.when(kind == "ip", octets).when(F.startswith(kind, F.lit("name-")), _name(m, kind, stream, attempt)).when(kind == "card", _checked(m, shaped)).otherwise(shaped)
 
 
-def _forms(docs: DataFrame) -> DataFrame:
-    """Every mention of the corpus as (id, th, kind, form); the parts of a name one by one, their kind with the role."""
-    between, found = _mentions(F.col("text"))
-    each = docs.select("id", "th", between.alias("__between"), found.alias("__found")).where(F.size("__found") > 0)
-    each = each.select("id", "th", F.posexplode("__found").alias("__i", "__m"), "__between").select("id", "th", "__m", F.get("__between", F.col("__i")).alias("__before"))
-    each = each.withColumn("__kind", _kind(F.col("__m")))
-    whole = F.array(F.struct(F.col("__kind").alias("kind"), _canonical(F.col("__kind"), F.col("__m")).alias("form")))
-    parts = F.split("__m", " ")
-    names = F.transform(parts, lambda p, i: F.struct(F.concat(F.lit("name-"), _role(F.col("__before"), i, F.size(parts))).alias("kind"), F.lower(p).alias("form")))
-    return each.select("id", "th", F.explode(F.when(F.col("__kind") == "name", names).otherwise(whole)).alias("e")).select("id", "th", "e.kind", "e.form")
-
-
-def _made(key: str, kind: Column, form: Column, attempt: Column) -> Column:
-    """The surrogate of a canonical form, itself in canonical form."""
-    role = F.substring(kind, F.lit(6), F.lit(10))
-    return F.when(F.startswith(kind, F.lit("name-")), F.lower(_name(form, role, _stream(key, kind, form, attempt), attempt))).otherwise(_surrogate(key, kind, form, attempt))
+def _made(forms: DataFrame, key: str) -> DataFrame:
+    """Adds ``made``, the surrogate of each canonical form (itself in canonical form)."""
+    keyed = forms.withColumn("stream", _stream(key, F.col("kind"), F.col("form"), F.col("attempt")))
+    return keyed.withColumn("made", _surrogate(F.col("form"), F.col("kind"), F.col("stream"), F.col("attempt"))).drop("stream")
 
 
 def collisions(forms: DataFrame, key: str) -> DataFrame:
     """Forms (kind, form, attempt) whose first surrogate was another's or a real form, with the attempt that is free.
 
-    ``forms``: distinct (kind, form).  Each round looks at what is still open against all that is settled.
+    ``forms``: distinct (kind, form).
     """
     space = F.when(F.startswith("kind", F.lit("name-")), F.lit("name")).otherwise(F.col("kind"))
     real = forms.select(space.alias("space"), F.col("form").alias("made")).distinct()
-    held = stage(forms.withColumn("attempt", F.lit(0)).withColumn("made", _made(key, F.col("kind"), F.col("form"), F.col("attempt"))).withColumn("space", space), "pii-forms")
+    held = stage(_made(forms.withColumn("attempt", F.lit(0)), key).withColumn("space", space), "pii-forms")
     for _ in range(ROUNDS):
         # of forms that share a surrogate the one of the lowest attempt, then the smallest, has it
         owner = held.groupBy("space", "made").agg(F.min(F.struct("attempt", "kind", "form")).alias("owner"), F.count("*").alias("n"))
@@ -189,48 +182,33 @@ def collisions(forms: DataFrame, key: str) -> DataFrame:
         known = held.join(real, ["space", "made"], "left_semi")
         again = stage(clash.select("kind", "form").unionByName(known.select("kind", "form")).distinct(), "pii-again")
         if again.isEmpty():
-            break
-        moved = held.join(again.withColumn("hit", F.lit(1)), ["kind", "form"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("hit", F.lit(0)))
-        held = stage(moved.withColumn("made", F.when(F.col("hit") == 1, _made(key, F.col("kind"), F.col("form"), F.col("attempt"))).otherwise(F.col("made"))).drop("hit"), "pii-forms")
-    else:
-        raise RuntimeError("too few surrogates of some format")
-    return held.where("attempt > 0").select("kind", "form", "attempt")
+            return held.where("attempt > 0").select("kind", "form", "attempt")
+        moved = held.drop("made").join(again.withColumn("hit", F.lit(1)), ["kind", "form"], "left").withColumn("attempt", F.col("attempt") + F.coalesce("hit", F.lit(0))).drop("hit")
+        held = stage(_made(moved, key), "pii-forms")
+    raise RuntimeError("too few surrogates of some format")
 
 
 def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ``text`` with surrogates and ``n_entities``."""
-    narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    forms = stage(_forms(narrow).select("kind", "form").distinct(), "pii-distinct")
+    """One row per input row: id, ``text`` with surrogates and ``n_entities`` (each part of a name counts)."""
+    narrow = _with_mentions(docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")))
+    each = narrow.select("id", "th", F.explode("found").alias("e")).select("id", "th", "e.kind", "e.form")
+    forms = stage(each.select("kind", "form").distinct(), "pii-distinct")
     special = stage(collisions(forms, key), "pii-exceptions")
+    name = F.concat_ws(":", "kind", "form")
     if special.isEmpty():
         rows = narrow.withColumn("tries", F.lit(None).cast("map<string,int>"))
     else:
-        name = F.concat_ws(":", "kind", "form")
-        mine = _forms(narrow).distinct().join(special, ["kind", "form"]).groupBy("id", "th").agg(F.map_from_entries(F.collect_list(F.struct(name, "attempt"))).alias("tries"))
+        mine = each.distinct().join(special, ["kind", "form"]).groupBy("id", "th").agg(F.map_from_entries(F.collect_list(F.struct(name, "attempt"))).alias("tries"))
         mine = stage(mine.withColumnsRenamed({"id": "__id", "th": "__th"}), "pii-tries")  # its size on disk decides on a broadcast
-        rows = narrow.join(mine, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
-
-    def attempt(kind: Column, form: Column) -> Column:
-        return F.coalesce(F.try_element_at("tries", F.concat_ws(":", kind, form)), F.lit(0))
-
-    def replaced(m: Column, before: Column) -> Column:
-        kind = _kind(m)
-        parts = F.split(m, " ")
-
-        def part(p: Column, i: Column) -> Column:
-            role = _role(before, i, F.size(parts))
-            tag = F.concat(F.lit("name-"), role)
-            tries = attempt(tag, F.lower(p))
-            return _name(p, role, _stream(key, tag, F.lower(p), tries), tries)
-
-        return F.when(kind == "name", F.array_join(F.transform(parts, part), " ")).otherwise(_surrogate(key, kind, m, attempt(kind, _canonical(kind, m))))
+        rows = narrow.join(mine, F.col("id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left").drop("__id", "__th")
 
-    between, found = _mentions(F.col("text"))
-    cut = rows.select("id", "text", "tries", between.alias("__between"), found.alias("__found"))
-    n = F.coalesce(F.size("__found"), F.lit(0))
-    new = F.array_join(
-        F.transform("__between", lambda b, i: F.when(i < n, F.concat(b, replaced(F.get("__found", i), b))).otherwise(b)), ""
+    tries = lambda x: F.coalesce(F.try_element_at("tries", F.concat_ws(":", x["kind"], x["form"])), F.lit(0))
+    tried = rows.withColumn("found", F.transform("found", lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["form"].alias("form"), tries(x).alias("attempt"))))
+    keyed = tried.withColumn(
+        "found", F.transform("found", lambda x: F.struct(x["m"].alias("m"), x["kind"].alias("kind"), x["attempt"].alias("attempt"), _stream(key, x["kind"], x["form"], x["attempt"]).alias("stream")))
     )
-    return cut.select(
-        F.col("id").alias(id_col), F.when(F.size("__found") > 0, new).otherwise(F.col("text")).alias("text"), F.greatest(n, F.lit(0)).cast("long").alias("n_entities")
+    new = keyed.withColumn("found", F.transform("found", lambda x: _surrogate(x["m"], x["kind"], x["stream"], x["attempt"])))
+    whole = F.array_join(F.transform("between", lambda b, i: F.concat(b, F.coalesce(F.get("found", i), F.lit("")))), "")
+    return new.select(
+        F.col("id").alias(id_col), F.when(F.size("found") > 0, whole).otherwise(F.col("text")).alias("text"), F.greatest(F.coalesce(F.size("found"), F.lit(0)), F.lit(0)).cast("long").alias("n_entities")
     )
