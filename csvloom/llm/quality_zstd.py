@@ -1,8 +1,9 @@
 """Quality score from two zstandard dictionaries, one built from good and one from bad labelled texts.
 
-A text costs fewer bytes with the dictionary of the kind it resembles.  The difference of the two compressed
-sizes per byte of text is the one feature; a logistic curve fitted on training rows turns it into a score
-between 0 and 1.  To calibrate on sizes that the dictionaries did not see, the training rows are split in
+A text costs fewer bytes with the dictionary of the kind it resembles: the difference of the two compressed
+sizes per byte of text tells good from bad.  Texts that repeat themselves cost next to nothing with either,
+so the calibration also sees the logarithm of the cost per byte under the good dictionary.  A logistic curve
+fitted on training rows turns both into a score between 0 and 1.  To calibrate on sizes that the dictionaries did not see, the training rows are split in
 two halves: dictionaries of each half score the other one, and the final ones are built from all.
 
 The sample for fitting is bounded: ``max_docs`` rows of each label, those of the smallest hash of the id,
@@ -40,14 +41,14 @@ SMOOTH = 16
 class Model:
     good: bytes
     bad: bytes
-    slope: float
+    slopes: tuple[float, ...]
     offset: float
 
     def scorer(self):
         if not self.good or not self.bad:
             return lambda text: _logistic(self.offset)
         good, bad = compressor(self.good), compressor(self.bad)
-        return lambda text: _logistic(self.offset + self.slope * difference(good, bad, text))
+        return lambda text: _logistic(self.offset + sum(w * x for w, x in zip(self.slopes, features(good, bad, text))))
 
 
 def _logistic(x: float) -> float:
@@ -68,22 +69,26 @@ def compressor(data: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def difference(good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor, text: bytes) -> float:
-    return (len(bad.compress(text)) - len(good.compress(text))) / (len(text) + SMOOTH)
+def features(good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor, text: bytes) -> tuple[float, float]:
+    """Difference of the compressed sizes per byte, and the logarithm of the cost per byte."""
+    a, b, n = len(good.compress(text)), len(bad.compress(text)), len(text) + SMOOTH
+    return (b - a) / n, math.log((a + SMOOTH) / n)
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and offset by Newton's method; the ridge keeps separable data finite."""
-    scale = float(np.abs(x).mean()) or 1.0
-    a = np.stack([x / scale, np.ones_like(x)], axis=1)
-    w = np.zeros(2)
-    for _ in range(100):
+def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[tuple[float, ...], float]:
+    """Slopes and offset by Newton's method on standardised columns; the ridge keeps separable data finite."""
+    centre, scale = x.mean(axis=0), x.std(axis=0)
+    scale[scale == 0] = 1
+    a = np.column_stack([(x - centre) / scale, np.ones(len(x))])
+    w = np.zeros(a.shape[1])
+    for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2), a.T @ (y - p) - ridge * w)
-        w += np.clip(step, -5, 5)
+        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
+        w += np.clip(step, -3, 3)
         if np.abs(step).max() < 1e-9:
             break
-    return float(w[0] / scale), float(w[1])
+    slopes = w[:-1] / scale
+    return tuple(slopes.tolist()), float(w[-1] - slopes @ centre)
 
 
 def train(rows: list[tuple[bytes, int]]) -> Model:
@@ -92,16 +97,16 @@ def train(rows: list[tuple[bytes, int]]) -> Model:
     if min(map(len, by.values())) < 2:
         n, ones = len(rows), len(by[1])
         share = min(max(ones / n, 1e-6), 1 - 1e-6) if n else 0.5
-        return Model(b"", b"", 0.0, math.log(share / (1 - share)))
+        return Model(b"", b"", (), math.log(share / (1 - share)))
     x, y = [], []
     for half in (0, 1):
         good, bad = (compressor(dictionary(by[k][half::2])) for k in (1, 0))
         for k in (1, 0):
             for t in by[k][1 - half :: 2]:
-                x.append(difference(good, bad, t))
+                x.append(features(good, bad, t))
                 y.append(k)
-    slope, offset = logistic_fit(np.array(x), np.array(y, dtype=float))
-    return Model(dictionary(by[1]), dictionary(by[0]), slope, offset)
+    slopes, offset = logistic_fit(np.array(x), np.array(y, dtype=float))
+    return Model(dictionary(by[1]), dictionary(by[0]), slopes, offset)
 
 
 def held_out(id_col: Column) -> Column:
