@@ -75,6 +75,8 @@ def compose(first: bytes, then: bytes) -> bytes:
 
 def range_function(data: bytes, d: Dialect, block: int = 1 << 16) -> bytes:
     """The state function of a byte range: entry s is the state (plus BEGUN if a record began) after starting in s."""
+    if data and d.quote_handling == TOGGLE and d.comment is None and d.quote is not None and d.escape in (None, d.quote):
+        return _parity_function(data, d)
     table = _tables(d)
     held = IDENTITY
     # a run of bytes that mean nothing acts like its first one
@@ -98,6 +100,40 @@ def range_function(data: bytes, d: Dialect, block: int = 1 << 16) -> bytes:
     return held
 
 
+def _parity_function(data: bytes, d: Dialect, block: int = 1 << 16) -> bytes:
+    """The state function where every quote toggles: the number of quotes and the last byte tell the state.
+
+    States that such a dialect does not reach go to BROKEN.
+    """
+    whole = np.frombuffer(data, dtype=np.uint8)
+    quotes = int(np.count_nonzero(whole == d.quote))
+    last = data[-1]
+    outside = FIELD_START if last == d.delimiter else RECORD_START if last in d.terminators else AFTER_QUOTE if last == d.quote else IN_FIELD
+    ends = bytes(d.terminators)
+    content = len(data.rstrip(ends))  # one past the last byte that is not a terminator
+
+    def begins(parity: int) -> bool:
+        """Does a record begin after the first terminator outside quotes?"""
+        for at in range(0, content, block):
+            some = whole[at : at + block]
+            q = some == d.quote
+            inside = (np.cumsum(q) - q + parity) & 1
+            stop = np.flatnonzero(np.isin(some, d.terminators) & (inside == 0))
+            if len(stop):
+                return int(stop[0]) + at < content
+            parity += int(np.count_nonzero(q))
+        return False
+
+    out = bytearray([BROKEN] * STATES)
+    after = [begins(0), begins(1)]
+    for state in (RECORD_START, FIELD_START, IN_FIELD, IN_QUOTED, AFTER_QUOTE):
+        parity = int(state == IN_QUOTED)
+        to = IN_QUOTED if (quotes + parity) % 2 else outside
+        begun = content > 0 if state == RECORD_START else after[parity]
+        out[state] = to + BEGUN * begun
+    return bytes(out) + bytes(x % BEGUN + BEGUN for x in out)
+
+
 class Incomplete(Exception):
     """The bytes at hand end inside a record that goes on."""
 

@@ -171,6 +171,21 @@ def test_functions_compose():
         assert compose(IDENTITY, whole) == whole == range_function(data, d, block=3)
 
 
+def test_parity_shortcut_equals_the_table():
+    from csvloom.functions import machine
+
+    rnd = random.Random(13)
+    for _ in range(500):
+        data = bytes(rnd.choice(b'ab,"\n\r;') for _ in range(rnd.randint(1, 30)))
+        d = Dialect(escape=rnd.choice(['"', None]), terminator=rnd.choice(["CRLF", "LF", ";"]))
+        state_of = lambda s: machine._parity_function(data, d, block=rnd.choice([1, 4, 64]))[s]
+        for start in (machine.RECORD_START, machine.FIELD_START, machine.IN_FIELD, machine.IN_QUOTED, machine.AFTER_QUOTE):
+            state = start
+            for b in data:
+                state = machine._tables(d)[b, state]
+            assert state_of(start) == state, (data, d, start)
+
+
 def test_vector_reader_agrees_or_declines():
     rnd, agreed = random.Random(7), 0
     for _ in range(1500):
