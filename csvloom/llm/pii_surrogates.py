@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from csvloom.llm.common import stage
+from csvloom.llm.common import partitions, stage
 
 #: Titles before a name, by gender (fixed values).
 TITLES = {
@@ -40,7 +40,7 @@ _PART = r"\p{Lu}[\p{L}'’-]{0,30}"
 #: The kinds of mention, in order of preference where several could begin at one place.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+",
-    "secret": r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Za-z])(?=[A-Za-z]*[0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?=[0-9A-Z]{0,24}\d{6})[0-9A-Z]{11,30}(?![0-9A-Za-z])",
     "card": r"(?<![\d.])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?![\d])",
     "phone": r"(?<![\w.])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w.])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.-])\d{3}-\d{3}-\d{4}(?![\d-])",
@@ -74,7 +74,7 @@ def _kind(m: Column, i: Column, between: Column, found: Column) -> Column:
 
 def _with_mentions(docs: DataFrame) -> DataFrame:
     """Adds ``between`` (what stands around the mentions of ``text``) and ``found``: structs (m, kind, form)."""
-    some = F.col("text").rlike(r"[0-9@]") | F.col("text").rlike(rf"(?<!\p{{L}})(?:{_ANY_TITLE})\.? \p{{Lu}}") | F.col("text").rlike("[0-9a-fA-F]{32}")
+    some = F.col("text").rlike(r"[0-9@]") | F.col("text").rlike(rf"(?<!\p{{L}})(?:{_ANY_TITLE})\.? \p{{Lu}}")
     docs = docs.withColumn("some", some)  # most texts have nothing that any kind needs
     cut = docs.withColumns(
         {
@@ -173,6 +173,7 @@ def collisions(forms: DataFrame, key: str) -> DataFrame:
     ``forms``: distinct (kind, form).
     """
     space = F.when(F.startswith("kind", F.lit("name-")), F.lit("name")).otherwise(F.col("kind"))
+    forms = forms.repartition(partitions(forms.sparkSession), "kind", "form")  # little to read, much to compute
     real = forms.select(space.alias("space"), F.col("form").alias("made")).distinct()
     held = stage(_made(forms.withColumn("attempt", F.lit(0)), key).withColumn("space", space), "pii-forms")
     for _ in range(ROUNDS):
