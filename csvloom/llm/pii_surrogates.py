@@ -49,8 +49,10 @@ KINDS = {
     # up to three parts after a title, each a mention of its own
     "name": rf"(?=\p{{Lu}})(?<= )(?<=(?<!\p{{L}})(?:{_ANY_TITLE})\.? (?:|{_PART} |{_PART} {_PART} ))\p{{Lu}}[\p{{L}}'’-]*+",
 }
-#: Mentions begin where no letter or digit stands before them: a cheap test that most places fail.
-PATTERN = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(KINDS.values())})"
+#: A cheap test that most places fail and no mention does: after an ASCII letter or digit only numbers begin (a card,
+#: whatever stands before it), after another letter or digit also secrets and accounts.  Each kind has its own left border.
+_BEGIN = r"(?:(?<![\p{L}\p{N}])|(?=[0-9+(])|(?<=[^\x00-\x7F])(?=[A-Za-z]))"
+PATTERN = rf"{_BEGIN}(?:{'|'.join(KINDS.values())})"
 #: Rounds of keying anew before the space of surrogates counts as used up.
 ROUNDS = 20
 

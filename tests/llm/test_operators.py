@@ -140,6 +140,16 @@ def test_surrogates(spark):
     assert surrogates(spark, PRIVATE) == out[:3] != surrogates(spark, PRIVATE, "other key")
 
 
+def test_surrogates_right_after_letters(spark):
+    """Mentions with a letter before them: outside ASCII before all kinds but addresses and names, any letter before a card."""
+    secret = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+    real = ["4111111111111111", "+86 138 1234 5678", "+34 612 345 678", "(212) 555-1234", "212-555-1234", "123-45-6789", "97.51.17.173", secret, "a" + secret[1:], "DE89370400440532013000"]
+    texts = [before + m for before in ("nº", "卡号", "é") for m in real] + ["CC4111 1111 1111 1111", "x4111111111111111"]
+    out = surrogates(spark, texts)
+    assert [n for _, n in out] == [1] * len(texts)
+    assert not [t for t, old in zip((t for t, _ in out), texts) if t == old or any(m in t for m in real)]
+
+
 def test_surrogates_stay_distinct(spark):
     """So many addresses of one short form that first surrogates must clash."""
     texts = [f"x{i}@y.zz and {i}" for i in range(10)] + [f"{a}@{b}.cc" for a in "abcdefghij" for b in "abcdefghij"]
