@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from csvloom.dialect import FLEXIBLE, LITERAL, Dialect
-from csvloom.errors import CsvError, InvalidConfig
-from csvloom.functions.machine import Incomplete, Scanner, utf8_error
+from csvloom.functions.machine import AFTER_QUOTE, BEGUN, BROKEN, FIELD_START, IN_FIELD, IN_QUOTED, RECORD_START, STATES, range_function, utf8_error
 from csvloom.sources import files
 
 
@@ -70,46 +75,132 @@ def overlay(base: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
 #: Candidates of the sniffer, in order of preference.
 DELIMITERS = (",", ";", "\t", "|", ":")
 QUOTES = ('"', "'", None)
-SAMPLE = 1 << 20
-
-
-def sniff(path: str, sample: int = SAMPLE) -> dict:
-    """Guess a file's dialect from its first bytes: the candidate whose records agree best on a number of fields above 1.
-
-    Returns settings that differ from the defaults, ``columns``, and ``encoding`` where it is not UTF-8.
+CANDIDATES = [Dialect(delimiter=x, quote=q, escape=q, header=False, record_mode=FLEXIBLE, field_type="binary", quote_handling=LITERAL) for x, q in product(DELIMITERS, QUOTES)]
+#: Bytes of a chunk of the sniffer.
+SNIFFED = 8 << 20
+
+
+def _over(spark: SparkSession | None, rows: list[tuple], f: Callable) -> list:
+    """``f`` of every row (path, start, end, states), in order: by tasks, or here without a session."""
+    if spark is None or not rows:
+        return [f(*r) for r in rows]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                out = f(r["path"], r["start"], r["end"], r["states"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["i"]], pa.int64()), pa.array([pickle.dumps(out)], pa.binary())], ["i", "out"])
+
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, path string, start long, end long, states binary")
+    made = table.repartition(min(len(rows), 100_000), "i").mapInArrow(run, "i long, out binary")
+    got = {r["i"]: pickle.loads(bytes(r["out"])) for r in made.collect()}  # some hundred bytes a chunk
+    return [got[i] for i in range(len(rows))]
+
+
+def _character(w: files.Window, at: int) -> int:
+    """Where the character ends that goes on past ``at``; ``at`` if none does."""
+    before = w.at(max(0, at - 3), at)
+    for back, b in enumerate(reversed(before), 1):
+        if b & 0xC0 != 0x80:
+            size = 4 if b >= 0xF0 else 3 if b >= 0xE0 else 2 if b >= 0xC0 else 1
+            return min(at + max(0, size - back), w.size)
+    return at
+
+
+def _outline(path: str, start: int, end: int, _: bytes | None) -> tuple[bool, set[int], list[bytes]]:
+    """Of a chunk: is it UTF-8 (characters belong where they begin), the quotes it has, each candidate's state function."""
+    with files.Window(path) as w:
+        data = w.at(start, end)
+        good = utf8_error(w.at(_character(w, start), _character(w, end))) is None
+    found = []
+    for d in CANDIDATES:
+        if d.quote is not None and d.quote in data:
+            found.append(range_function(data, d))
+        else:
+            to = RECORD_START if data[-1] in d.terminators else FIELD_START if data[-1] == d.delimiter else IN_FIELD
+            found.append(bytes(IN_QUOTED if s == IN_QUOTED else to for s in range(STATES)))
+    return good, {d.quote for d in CANDIDATES if d.quote is not None and d.quote in data}, found
+
+
+def _widths(data: bytes, d: Dialect, state: int) -> tuple[tuple[int, bool], dict[int, int], tuple[int, bool] | None]:
+    """Records of bytes that begin in ``state``: what goes before the first end, whole records by width, what goes after the last.
+
+    Ends are (delimiters, is there anything); the last is None where no record ends.
     """
-    with files.Window(files.list_files(path)[0][0]) as w:
-        data, whole = w.at(0, sample), w.size <= sample
+    if d.quote is not None:
+        q = bytes([d.quote])
+        data = {IN_QUOTED: q, AFTER_QUOTE: q + q, IN_FIELD: b"x"}.get(state, b"") + data
+        if q in data:  # a field that opens with a quote, to the end of its quoting, holds no delimiters
+            data = re.sub(rb"(?<![^%b\r\n])%b(?:[^%b]++|%b%b)*+(?:%b|\Z)" % (re.escape(bytes([d.delimiter])), q, q, q, q, q), b"x", data)
+    a = np.frombuffer(data, dtype=np.uint8)
+    ends = np.flatnonzero(np.isin(a, d.terminators))
+    delimiters = np.flatnonzero(a == d.delimiter)
+    many = np.diff(np.concatenate([[0], np.searchsorted(delimiters, ends), [len(delimiters)]])).tolist()
+    some = (np.diff(np.concatenate([[-1], ends, [len(a)]])) > 1).tolist()
+    whole = Counter(n + 1 for n, there in zip(many[1:-1], some[1:-1]) if there)
+    return (many[0], some[0]), dict(whole), (many[-1], some[-1]) if len(ends) else None
+
+
+def _records(path: str, start: int, end: int, states: bytes) -> list:
+    """Each candidate's :func:`_widths` of a chunk, from its exact state; None for those that are out."""
+    with files.Window(path) as w:
+        data = w.at(start, end)
+    return [None if s == BROKEN else _widths(data, d, s) for d, s in zip(CANDIDATES, states)]
+
+
+def sniff(path: str, spark: SparkSession | None = None, chunk_size: int = SNIFFED) -> dict:
+    """Guess the dialect of all bytes of all files: the candidate whose records agree best on a number of fields above 1.
+
+    Chunks are read by tasks of ``spark``, or here without it: once for encoding, quotes and state functions, once for
+    the widths of records.  A candidate that leaves a quote open at the end of any file is out.
+    Returns settings that differ from the defaults, ``columns``, and ``encoding`` where any file is not UTF-8.
+    """
+    rows = [(f, at, min(at + chunk_size, size), None) for f, size in files.list_files(path) for at in range(0, size, chunk_size)]
+    outlines = _over(spark, rows, _outline)
+    seen: set[int] = set().union(*(quotes for _, quotes, _ in outlines))
+    out = {i for i, d in enumerate(CANDIDATES) if d.quote is not None and d.quote not in seen}
+    states, held = [], [RECORD_START] * len(CANDIDATES)
+    for i, ((f, *_), (_, _, functions)) in enumerate(zip(rows, outlines)):
+        states.append(held)
+        held = [function[s] % BEGUN for function, s in zip(functions, held)]
+        if i + 1 == len(rows) or rows[i + 1][0] != f:
+            out |= {k for k, s in enumerate(held) if s == IN_QUOTED}
+            held = [RECORD_START] * len(CANDIDATES)
+    known = [(*r[:3], bytes(BROKEN if k in out else s for k, s in enumerate(of))) for r, of in zip(rows, states)]
+    parts = _over(spark, known, _records)
+
     best: tuple = ((-1.0, 0), {})
-    for delimiter, quote in product(DELIMITERS, QUOTES):
-        try:
-            d = Dialect(delimiter=delimiter, quote=quote, escape=quote, header=False, record_mode=FLEXIBLE, field_type="binary", quote_handling=LITERAL)
-        except InvalidConfig:
-            continue
-        counts: dict[int, int] = {}
-        used = quote is None
-        try:
-            for _, r in Scanner(d).records(data, final=whole):
-                counts[len(r)] = counts.get(len(r), 0) + 1
-        except Incomplete:
-            pass
-        except CsvError:
+    for k, d in enumerate(CANDIDATES):
+        if k in out:
             continue
-        used = used or data.count(quote.encode()) > 0
-        if counts and used:
-            width = max(counts, key=lambda k: (counts[k], k))
+        counts: Counter = Counter()
+        many, some = 0, False  # of the record that goes on
+        for i, part in enumerate(parts):
+            (more, there), whole, last = part[k]
+            many, some = many + more, some or there
+            counts.update(whole)
+            final = i + 1 == len(rows) or rows[i + 1][0] != rows[i][0]
+            if last is not None or final:
+                counts[many + 1] += some
+                many, some = last or (0, False)
+                if final and last is not None:
+                    counts[many + 1] += some
+                    many, some = 0, False
+        counts = +counts
+        if counts:
+            width = max(counts, key=lambda n: (counts[n], n))
             score = counts[width] / sum(counts.values()) * (1 if width > 1 else 0.1)
             if (score, width) > best[0]:
-                best = ((score, width), {"delimiter": delimiter, "quote": quote, "columns": width})
+                quote = None if d.quote is None else chr(d.quote)
+                best = ((score, width), {"delimiter": chr(d.delimiter), "quote": quote, "columns": width})
     found = dict(best[1]) or {"columns": 1}
     defaults = {"delimiter": ",", "quote": '"'}
-    out = {k: v for k, v in found.items() if k == "columns" or v != defaults[k]}
-    if found.get("quote") is None and b'"' not in data:
-        out.pop("quote", None)
-    bad = utf8_error(data)
-    if bad is not None and (whole or bad.offset < len(data) - 4):
-        out["encoding"] = "non-utf-8"
-    return out
+    result = {k: v for k, v in found.items() if k == "columns" or v != defaults[k]}
+    if found.get("quote") is None and ord('"') not in seen:
+        result.pop("quote", None)
+    if not all(good for good, _, _ in outlines):
+        result["encoding"] = "non-utf-8"
+    return result
 
 
 def write_csv(df: DataFrame, path: str, delimiter: str = "|", header: bool = True) -> None:

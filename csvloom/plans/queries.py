@@ -368,5 +368,5 @@ def scan_then_window(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES ('|', 3)) v(delimiter, columns)")
 def sniffed_dialect(spark, sf_dir):
-    found = reports.sniff(rendered(spark, sf_dir, "supplier", ("s_suppkey", "s_name", "s_nationkey")))
+    found = reports.sniff(rendered(spark, sf_dir, "supplier", ("s_suppkey", "s_name", "s_nationkey")), spark)
     return spark.createDataFrame([(found.get("delimiter", ","), found["columns"])], "delimiter string, columns int")

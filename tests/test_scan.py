@@ -2,6 +2,7 @@
 
 import io
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from csvloom.dialect import Dialect
 from csvloom.errors import CsvError, InvalidConfig, NumberOfFields, UnclosedQuote, UserError
 from csvloom.functions.columns import explode_records
+from csvloom.functions.machine import RECORD_START, Scanner, utf8_error
 from csvloom.operators import aggregates, reports
 from csvloom.parser import Parser
 from csvloom.plans import chunks, native
@@ -187,6 +189,44 @@ def test_sniffing(tmp_path, data, expected):
     assert reports.sniff(put(tmp_path, "a.csv", data)) == expected
 
 
+def test_sniffing_reads_whole_files(spark, tmp_path):
+    """What decides comes after the first MiB, or in the second file."""
+    head = b"a;b,c\n" * 200_000
+    cases = [
+        (head + b"\xff;b,c\n", b"", {"columns": 2, "encoding": "non-utf-8"}),
+        (head, b"\xff;b,c\n", {"columns": 2, "encoding": "non-utf-8"}),
+        (head + b"a;b\n" * 10, b"", {"delimiter": ";", "columns": 2}),
+        (head, b"a;b\n" * 10, {"delimiter": ";", "columns": 2}),
+        (head + b"1|2|3\n" * 500_000, b"", {"delimiter": "|", "columns": 3}),
+        (b"a,b\n" * 300_000 + b"a,'b,c'\n" * 300_000, b"", {"quote": "'", "columns": 2}),
+    ]
+    for i, (first, second, expected) in enumerate(cases):
+        folder = tmp_path / str(i)
+        folder.mkdir()
+        put(folder, "a.csv", first)
+        put(folder, "b.csv", second)
+        assert reports.sniff(str(folder)) == reports.sniff(str(folder), spark, 1 << 20) == expected, i
+
+
+def test_sniffing_at_any_chunk_size(tmp_path):
+    """Chunks count what the scanner of records finds, and see bad bytes whatever the border."""
+    rnd = random.Random(5)
+    for i in range(300):
+        data = b"".join(rnd.choice([b"a", b",", b";", b'"', b'"', b"'", b"\n", b"\r\n", "é€😀".encode(), rnd.choice([b"b", b"\xe2"])]) for _ in range(rnd.randint(1, 30)))
+        path = put(tmp_path, "a.csv", data)
+        whole = reports.sniff(path)
+        assert all(reports.sniff(path, chunk_size=n) == whole for n in (1, 2, 3, 7)), data
+        assert (utf8_error(data) is not None) == ("encoding" in whole), data
+        for d in reports.CANDIDATES:
+            try:
+                want = Counter(len(r) for _, r in Scanner(d).records(data))
+            except UnclosedQuote:
+                continue
+            (many, some), got, last = reports._widths(data, d, RECORD_START)
+            got = Counter(got) + Counter([n + 1 for n, there in [(many, some), *([last] if last else [])] if there])
+            assert got == want, (data, d)
+
+
 def test_streaming_extension(spark, tmp_path):
     from csvloom.streaming.files import stream_records
 
