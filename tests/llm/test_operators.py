@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -383,6 +384,21 @@ def sets_by_hand(rows, n):
     return out
 
 
+def test_frequent_ngrams_come_last_however_frequent(spark):
+    """Counters tell n-grams of 300, 900 and 70,000 documents apart, and prefixes take the rarer."""
+    often = {"p q r s": 300, "t u v w": 900, "x y z a": 70_000}
+    texts = [t for t, n in often.items() for _ in range(n)] + ["x y z a t u v w p q r s"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    table = ngram_join.counter_table(ngram_join.describe(docs, 4))
+    token = [int(next(ngram_join.sets_of(pa.array([t]), 4))[0]) for t in often]
+    level = [int(table[t >> (64 - ngram_join.COUNTER_BITS)]) for t in token]
+    assert level == sorted(set(level))
+    counters = spark.sparkContext.broadcast(table.tobytes())
+    long = ngram_join.prefixes(docs.where(F.length("text") > 8), counters, 4, 1).collect()
+    place = {r["token"] % (1 << 64): r["place"] for r in long}
+    assert [place[t] for t in token] == sorted(place[t] for t in token) and place[token[2]] == len(place) - 1
+
+
 @pytest.mark.parametrize("n,percent,lists,block", [(4, 85, 64, 2048), (4, 85, 2, 3), (1, 50, 3, 4), (5, 80, 64, 2048)])
 def test_ngram_join(corpus, n, percent, lists, block):
     sets = sets_by_hand(rows_of(corpus), n)
