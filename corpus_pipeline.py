@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from csvloom.llm import byte_bpe, exact_dedup, mixing, ngram_join, quality_zstd
-from csvloom.llm.common import keep_rows, partitions, stage
+from csvloom.llm.common import keep_rows, stage
 from csvloom.llm.queries import KEEP_SCORE, RANKS, WEIGHTS
 
 #: Near copies: word n-grams and percent of similarity.
@@ -42,11 +42,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
     hashed = docs.withColumn("__th", F.xxhash64("text"))
     taken = mixing.curriculum_mix(hashed, WEIGHTS, carry=["__th"]).where("taken > 0").select(
-        F.col("doc_id").alias("__id"), F.col("__th").alias("__mth"), F.col("position").alias("__position"), F.col("pass").alias("__pass")
+        F.col("doc_id").alias("__id"), F.col("__th").alias("__mth"), F.col("position").alias("__position"), F.col("pass").alias("__pass"), F.col("taken").alias("__taken")
     )
     rows = hashed.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__mth")))
-    order = ["__position", "doc_id", "__pass"]
-    return rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select(*columns)
+    return mixing.in_training_order(rows, prefix="__").select(*columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,8 +11,8 @@ Curriculum.  A source's demand rate over training time 0..1 is its schedule: lin
 ``end`` times its mean, so the integral is D(t) = target * (a t + (1 - a) t^2) with a = start / mean.  Documents of a
 source stand in a fixed pseudo-random order (a hash of the id) and are passed over again and again; the
 c-th word of that stream is wanted at the time t where D(t) = c.  Inverting D for the midpoint of every
-document gives its training position; a copy is taken while its midpoint lies below the target.  The
-result is sorted by position in range partitions.
+document gives its training position; a copy is taken while its midpoint lies below the target.
+:func:`in_training_order` sorts what is taken by position in range partitions.
 
 A source may hold any part of the rows: its stream is cut by the leading bits of the hash into pieces whose
 totals are summed first, and only then are running sums taken inside each piece.
@@ -135,7 +135,7 @@ def curriculum_mix(
     )
 
 
-def in_training_order(mix: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Range-sort what the mix takes by training position; equal positions by id and pass."""
-    order = ["position", id_col, "pass"]
-    return mix.where("taken > 0").repartitionByRange(partitions(mix.sparkSession), *order).sortWithinPartitions(*order)
+def in_training_order(mix: DataFrame, id_col: str = "doc_id", prefix: str = "") -> DataFrame:
+    """Range-sort what the mix takes by training position; equal positions by id and pass.  ``prefix`` is that of the mix's columns."""
+    order = [f"{prefix}position", id_col, f"{prefix}pass"]
+    return mix.where(F.col(f"{prefix}taken") > 0).repartitionByRange(partitions(mix.sparkSession), *order).sortWithinPartitions(*order)

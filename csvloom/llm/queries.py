@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from csvloom.llm import byte_bpe, embedding_dedup, exact_dedup, mixing, ngram_join, pii_surrogates, quality_zstd, sharding, substring_dedup, warc_archive
+from csvloom.llm.common import stage
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Weights of the sources in order of their names, repeating.
@@ -86,8 +87,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.curriculum_mix(table(spark, sf_dir, "documents"), WEIGHTS)
-    return mix.where("pass = 0").select(
+    """The whole mix, all passes, is written in training order; the rows tell of each document's first pass."""
+    mix = stage(mixing.curriculum_mix(table(spark, sf_dir, "documents"), WEIGHTS), "mix")
+    ordered = stage(mixing.in_training_order(mix), "mix-ordered")
+    return ordered.where("pass = 0").unionByName(mix.where("taken = 0")).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.col("position").alias("first_position")
     )
 

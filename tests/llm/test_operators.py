@@ -14,6 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from csvloom.llm import byte_bpe, embedding_dedup, exact_dedup, mixing, ngram_join, pii_surrogates, quality_zstd, sharding, substring_dedup, warc_archive
+from csvloom.llm.common import stage
 from csvloom.llm.components import connected_components
 
 LAST = (1 << 63) - 1
@@ -466,6 +467,23 @@ def test_mix(corpus):
     assert [r["position"] for r in ordered] == sorted(r["position"] for r in mix if r["taken"])
 
 
+def test_mix_query_writes_all_passes_in_training_order(spark, monkeypatch):
+    """What the query writes in order holds every taken pass of every document, sorted over all files; its rows are all documents."""
+    from csvloom.llm import queries
+
+    written = {}
+    monkeypatch.setattr(queries, "stage", lambda df, name: written.setdefault(name, stage(df, name)), raising=False)
+    got = queries.op10_curriculum_mix(spark, "/root/testdata/sf0.001").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    mix = mixing.curriculum_mix(docs, queries.WEIGHTS)
+    key = lambda r: (r["position"], r["doc_id"], r["pass"])
+    files = sorted(written["mix-ordered"].inputFiles(), key=lambda f: f.rsplit("/", 1)[1])
+    ordered = [key(r) for f in files for r in spark.read.parquet(f).collect()]
+    assert ordered == sorted(key(r) for r in mix.where("taken > 0").collect()) and any(p for _, _, p in ordered)
+    want = mix.where("pass = 0").select("doc_id", "size", "source_size", "target", F.col("size") * F.col("copies"), "position")
+    assert as_counter(got) == as_counter(want.collect()) and len(got) == docs.count()
+
+
 def test_positions_invert_demand(spark):
     df = spark.range(101).select((F.col("id") * 3.0).alias("c"))
     for a in (0.0, 0.5, 1.0, 1.5, 2.0):
