@@ -4,7 +4,7 @@ An archive is two tables.  ``payloads`` holds every distinct payload once under
 holds one row per record with the exact header bytes of a WARC/1.1 record and the digest of its payload.
 Of records with equal payloads the one with the largest id is a ``response``, the others are ``revisit``
 records that name it.  Reading joins the two on the digest, hashes the stored bytes anew and fails on any
-that do not match, and parses the rebuilt record.
+that do not match, rebuilds the record and parses its header and payload out of it; the payload's SHA-1 is made anew.
 
 Most payloads occur once.  A bitmap of fixed size over the digests that repeat tells them apart in the
 scan, so single payloads go to the store without a shuffle and only repeated ones are grouped.
@@ -100,7 +100,7 @@ def write_archive(
 
 
 def read_archive(archive: Archive) -> DataFrame:
-    """Rebuild every record and parse it.
+    """Rebuild every record and parse its bytes; lengths and SHA-1 that differ from what the header says fail.
 
     Columns: ``record_id``, ``record_type``, ``refers_to``, ``target_uri``, ``payload_digest``, ``payload``
     (also a revisit's, from the store) and ``record``, the exact bytes of the WARC record.
@@ -112,22 +112,34 @@ def read_archive(archive: Archive) -> DataFrame:
         ),
     )
     end = F.lit(CRLF * 2).cast("binary")
+    response = F.startswith(F.col("header").cast("string"), F.lit(f"{VERSION}{CRLF}WARC-Type: response{CRLF}"))
     rebuilt = archive.headers.join(stored, "digest").select(
-        F.col("header").cast("string").alias("__head"),
-        "payload",
-        F.concat("header", F.when(F.contains(F.col("header").cast("string"), F.lit("WARC-Type: response")), F.col("payload")).otherwise(F.lit("").cast("binary")), end).alias("record"),
+        F.col("payload").alias("__stored"), F.concat("header", F.when(response, F.col("payload")).otherwise(F.lit("").cast("binary")), end).alias("record")
     )
+    # from here on the record's own bytes count; of a revisit only the payload comes from the store
+    split = rebuilt.withColumn("__head", F.concat(F.substring_index(F.col("record").cast("string"), CRLF * 2, 1), F.lit(CRLF)))
 
     def field(name: str, value: str = r"([^\r]*)") -> Column:
         found = F.regexp_extract("__head", rf"\r\n{name}: {value}\r\n", 1)
         return F.when(found != "", found)
 
-    return rebuilt.select(
+    begin = F.octet_length("__head") + len(CRLF)
+    parsed = split.select(
+        "*",
         field("WARC-Record-ID", r"<urn:x-page:([^>]*)>").alias("record_id"),
         field("WARC-Type").alias("record_type"),
         field("WARC-Refers-To", r"<urn:x-page:([^>]*)>").alias("refers_to"),
         field("WARC-Target-URI").alias("target_uri"),
-        field("WARC-Payload-Digest", r"sha1:([A-Z2-7]*)").alias("payload_digest"),
-        "payload",
-        "record",
+        field("WARC-Payload-Digest", r"sha1:([A-Z2-7]*)").alias("__digest"),
+        begin.alias("__begin"),
+        field("Content-Length", r"(\d+)").cast("int").alias("__length"),
     )
+    body = F.when(F.col("record_type") == "response", F.substring("record", F.col("__begin") + 1, F.col("__length"))).otherwise(F.col("__stored"))
+    read = parsed.withColumn("__body", body).withColumn("__sha1", base32_of_hex(F.sha1("__body")))
+    whole = F.octet_length("record") == F.col("__begin") + F.col("__length") + len(CRLF * 2)
+    good = whole & (F.col("__sha1") == F.col("__digest"))
+
+    def checked(name: str) -> Column:
+        return F.when(good, F.col(name)).otherwise(F.raise_error(F.concat(F.lit("record does not match its header: "), F.col("__head"))))
+
+    return read.select("record_id", "record_type", "refers_to", "target_uri", checked("__sha1").alias("payload_digest"), checked("__body").cast("binary").alias("payload"), "record")

@@ -93,6 +93,18 @@ def test_archive_shares_nothing_below_the_bound(corpus, empty):
     assert warc_archive.read_archive(warc_archive.write_archive(none)).collect() == []
 
 
+@pytest.mark.parametrize("what,to", [("Content-Length: [0-9]+", "Content-Length: 99999"), ("sha1:[A-Z2-7]{4}", "sha1:AAAA")])
+def test_archive_reads_the_rebuilt_record(corpus, what, to):
+    """Digests are of the payload read out of the record, not copied from its header, also where nothing else is selected."""
+    pages = corpus.select(F.col("doc_id").alias("page_id"), F.lit("http://a/?WARC-Type: response").alias("url"), F.col("text").alias("html"))
+    archive = warc_archive.write_archive(pages)
+    got = [r["payload_digest"] for r in warc_archive.read_archive(archive).select("payload_digest").collect()]
+    assert as_counter(got) == as_counter(base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode() for _, t in rows_of(corpus))
+    changed = warc_archive.Archive(archive.payloads, archive.headers.withColumn("header", F.regexp_replace(F.col("header").cast("string"), what, to).cast("binary")))
+    with pytest.raises(Exception, match="does not match its header"):
+        warc_archive.read_archive(changed).select("payload_digest").collect()
+
+
 def test_archive_notices_a_changed_payload(corpus):
     pages = corpus.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html"))
     archive = warc_archive.write_archive(pages)
