@@ -1,13 +1,17 @@
 """Quality score from two zstandard dictionaries, one built from good and one from bad labelled texts.
 
-A text costs fewer bytes with the dictionary of the kind it resembles: the difference of the two compressed
-sizes per byte of text tells good from bad.  Texts that repeat themselves cost next to nothing with either,
-so the calibration also sees the logarithm of the cost per byte under the good dictionary.  A logistic curve
-fitted on training rows turns both into a score between 0 and 1.  To calibrate on sizes that the dictionaries did not see, the training rows are split in
-two halves: dictionaries of each half score the other one, and the final ones are built from all.
+A text costs fewer bytes with the dictionary of the kind it resembles.  The difference of the two compressed
+sizes, divided by the square root of the text's length (a difference gathered over n bytes varies by about
+as much), is the only input of the score.  Calibration turns it into a number between 0 and 1, the share of
+label 1 among rows of such a difference: the best fit that never falls (pooled adjacent violators), straight
+between its steps, with rows weighted to the labels' shares among all training rows.  To calibrate on sizes
+that the dictionaries did not see, the training rows are split in two halves: dictionaries of each half
+rate the other one, and the final ones are built from all.
 
 The sample for fitting is bounded: ``max_docs`` rows of each label, those of the smallest hash of the id,
-whole texts.  Only these rows reach the driver.  Scoring reads every whole text, one at a time.
+whole texts.  Only these rows reach the driver.  Scoring reads every whole text, one at a time, in memory
+that grows with the longest text alone.  Where the texts are too few or too short to train a dictionary on,
+the last ``DICT_BYTES`` of the joined texts serve as one.
 
 Defined results: a null text is scored as the empty one.  Rows whose label is neither 0 nor 1, or null, are
 not learned from; of several labels of one id all count.  Without training rows of both labels every score
@@ -32,27 +36,26 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 MAX_DOCS = 1500
 #: Bytes of each dictionary.
 DICT_BYTES = 64 << 10
-LEVEL = 3
+#: Strong matching: a faster level finds less of a dictionary, and texts that repeat themselves look alike with both.
+LEVEL = 12
 #: Bytes added to a text's length, so that very short texts lean on the middle of the scale.
 SMOOTH = 16
 
 
 @dataclass(frozen=True)
 class Model:
+    """Two dictionaries, and the points of the calibration: differences and their scores, both in rising order."""
+
     good: bytes
     bad: bytes
-    slopes: tuple[float, ...]
-    offset: float
+    at: tuple[float, ...]
+    scores: tuple[float, ...]
 
     def scorer(self):
         if not self.good or not self.bad:
-            return lambda text: _logistic(self.offset)
+            return lambda text: self.scores[0]
         good, bad = compressor(self.good), compressor(self.bad)
-        return lambda text: _logistic(self.offset + sum(w * x for w, x in zip(self.slopes, features(good, bad, text))))
-
-
-def _logistic(x: float) -> float:
-    return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
+        return lambda text: float(np.interp(difference(good, bad, text), self.at, self.scores))
 
 
 def dictionary(texts: list[bytes]) -> bytes:
@@ -69,44 +72,36 @@ def compressor(data: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def features(good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor, text: bytes) -> tuple[float, float]:
-    """Difference of the compressed sizes per byte, and the logarithm of the cost per byte."""
-    a, b, n = len(good.compress(text)), len(bad.compress(text)), len(text) + SMOOTH
-    return (b - a) / n, math.log((a + SMOOTH) / n)
+def difference(good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor, text: bytes) -> float:
+    """By how much the good dictionary makes the text smaller than the bad one, normalised by its length."""
+    return (len(bad.compress(text)) - len(good.compress(text))) / math.sqrt(len(text) + SMOOTH)
 
 
-def logistic_fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[tuple[float, ...], float]:
-    """Slopes and offset by Newton's method on standardised columns; the ridge keeps separable data finite."""
-    centre, scale = x.mean(axis=0), x.std(axis=0)
-    scale[scale == 0] = 1
-    a = np.column_stack([(x - centre) / scale, np.ones(len(x))])
-    w = np.zeros(a.shape[1])
-    for _ in range(200):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -35, 35)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), a.T @ (y - p) - ridge * w)
-        w += np.clip(step, -3, 3)
-        if np.abs(step).max() < 1e-9:
-            break
-    slopes = w[:-1] / scale
-    return tuple(slopes.tolist()), float(w[-1] - slopes @ centre)
+def calibrate(rows: list[tuple[float, int]], weight: tuple[float, float]) -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Differences and the weighted shares of label 1 around them, never falling; each share leans on half a row of either label."""
+    blocks: list[list[float]] = []  # weight of label 1, weight, weighted sum of differences
+    for x, y in sorted(rows):
+        blocks.append([weight[1] * y, weight[y], weight[y] * x])
+        while len(blocks) > 1:
+            (a, n, s), (b, m, t) = blocks[-2:]
+            if a / n < b / m and s / n < t / m:
+                break
+            blocks[-2:] = [[a + b, n + m, s + t]]
+    return tuple(s / n for _, n, s in blocks), tuple((a + 0.5) / (n + 1) for a, n, _ in blocks)
 
 
-def train(rows: list[tuple[bytes, int]]) -> Model:
-    """Fit on (text, label) rows in a fixed order."""
+def train(rows: list[tuple[bytes, int]], shares: tuple[float, float] = (0.5, 0.5)) -> Model:
+    """Fit on (text, label) rows in a fixed order; ``shares`` are those of labels 0 and 1 among all training rows."""
     by = {k: [t for t, q in rows if q == k] for k in (1, 0)}
     if min(map(len, by.values())) < 2:
-        n, ones = len(rows), len(by[1])
-        share = min(max(ones / n, 1e-6), 1 - 1e-6) if n else 0.5
-        return Model(b"", b"", (), math.log(share / (1 - share)))
-    x, y = [], []
+        return Model(b"", b"", (0.0,), (len(by[1]) / len(rows) if rows else 0.5,))
+    rated = []
     for half in (0, 1):
         good, bad = (compressor(dictionary(by[k][half::2])) for k in (1, 0))
         for k in (1, 0):
-            for t in by[k][1 - half :: 2]:
-                x.append(features(good, bad, t))
-                y.append(k)
-    slopes, offset = logistic_fit(np.array(x), np.array(y, dtype=float))
-    return Model(dictionary(by[1]), dictionary(by[0]), slopes, offset)
+            rated += [(difference(good, bad, t), k) for t in by[k][1 - half :: 2]]
+    weight = tuple(shares[k] * len(rows) / len(by[k]) for k in (0, 1))
+    return Model(dictionary(by[1]), dictionary(by[0]), *calibrate(rated, weight))
 
 
 def held_out(id_col: Column) -> Column:
@@ -119,15 +114,17 @@ def fit(
 ) -> Model:
     """Fit on labelled rows that are not held out; at most ``max_docs`` of each label."""
     chosen: list[DataFrame] = []
+    usable = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    many = {r["k"]: r["n"] for r in usable.groupBy(F.col(label_col).cast("int").alias("k")).agg(F.count("*").alias("n")).collect()}  # two rows
+    total = sum(many.values()) or 1
     for k in (0, 1):
-        some = labels.where((F.col(label_col) == k) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-        some = some.select(F.col(id_col).alias("__id"), F.lit(k).alias("__y"), F.xxhash64(id_col).alias("__h"))
+        some = usable.where(F.col(label_col) == k).select(F.col(id_col).alias("__id"), F.lit(k).alias("__y"), F.xxhash64(id_col).alias("__h"))
         chosen.append(some.orderBy("__h", "__id").limit(max_docs))
     sample = chosen[0].unionByName(chosen[1])  # at most 2 * max_docs narrow rows
     texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("__t"))
     found = texts.join(F.broadcast(sample), "__id").groupBy("__id", "__y", "__h").agg(F.min("__t").alias("__t"))
     rows = sorted((r["__h"], r["__id"], r["__y"], bytes(r["__t"])) for r in found.collect())
-    return train([(t, y) for _, _, y, t in rows])
+    return train([(t, y) for _, _, y, t in rows], (many.get(0, 0) / total, many.get(1, 0) / total))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
