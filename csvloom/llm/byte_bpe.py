@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from csvloom.llm.textops import MULTIPLIERS, chunks, run_hashes
+from csvloom.llm.textops import Blocks, chunks, equal_runs, run_hashes
 
 #: Pieces held in each of the two generations of a worker's dictionary.
 CACHE_PIECES = 100_000
@@ -40,6 +40,8 @@ CACHE_BYTES = 64
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text encoded together.
 CHUNK_BYTES = 1 << 18
+#: Places where no match of ``SPLIT`` goes on, whatever stands farther off.
+_BORDER = regex.compile(r"(?<=\S)(?=\s\S)|(?<=\p{L})(?=[^\s\p{L}\p{N}])")
 
 
 class PrefixTable:
@@ -218,7 +220,7 @@ class ByteBpe:
             cuts = np.append(where[at], len(data)).tolist()
         else:
             cuts = np.append(at, len(data)).tolist()
-        # equal pieces, told by two hashes and their length, are looked up once
+        # equal pieces are looked up once
         first, which = distinct_pieces(np.frombuffer(data, dtype=np.uint8), np.asarray(cuts))
         pieces = [data[cuts[i] : cuts[i + 1]] for i in first]
         ids = [*map(self.cache.get, pieces)]
@@ -235,6 +237,18 @@ class ByteBpe:
         edges = np.concatenate([[0], ends])[np.searchsorted(at, begins)].tolist()
         return [every[i:j].tobytes() for i, j in zip(edges, edges[1:])]
 
+    def encode_long(self, text: str) -> bytes:
+        """Packed ids of a text of any length, of which only a part is worked on at a time."""
+        if self.pattern.pattern != SPLIT:
+            return b"".join(self.packed(m.group().encode()) for m in self.pattern.finditer(text))
+        out, at = [], 0
+        while at < len(text):
+            found = _BORDER.search(text, at + CHUNK_BYTES)
+            end = found.start() if found else len(text)
+            out += self.encode_batch([text[at:end]])
+            at = end
+        return b"".join(out)
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_packed(text), dtype="<u4").tolist()
 
@@ -242,22 +256,30 @@ class ByteBpe:
         ids = np.asarray(ids, dtype=np.int64)
         if len(ids) and (ids.max() >= len(self.lengths) or not self.lengths[ids].all()):
             raise ValueError("an id is not in the ranks")
-        lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
-        if not len(ids):
-            return b""
-        return self.table[np.arange(ends[-1]) + np.repeat(self.offsets[ids] - (ends - lengths), lengths)].tobytes()
+        out = []
+        for at in range(0, len(ids), CHUNK_BYTES):
+            some = ids[at : at + CHUNK_BYTES]
+            lengths = self.lengths[some]
+            ends = np.cumsum(lengths)
+            out.append(self.table[np.arange(ends[-1]) + np.repeat(self.offsets[some] - (ends - lengths), lengths)].tobytes())
+        return b"".join(out)
 
 
 def distinct_pieces(data: np.ndarray, cuts: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """Pieces data[cuts[i]:cuts[i + 1]]: an index of each distinct one, and each piece's place among them."""
+    """Pieces data[cuts[i]:cuts[i + 1]]: an index of each distinct one, and each piece's place among them.
+
+    Hashes only bring equal pieces together; whether neighbours are equal is told by their bytes.
+    """
     n = len(cuts) - 1
     if n < 1:
         return [], np.zeros(0, np.int64)
-    one, two = (run_hashes(data, cuts, m) for m in MULTIPLIERS)
-    order = np.argsort(one)
+    start, stop = cuts[:-1], cuts[1:]
+    blocks = Blocks(data)
+    hashes = run_hashes(data, start, stop, blocks)
+    order = np.argsort(hashes)
     new = np.ones(n, dtype=bool)
-    new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
+    alike = 1 + np.flatnonzero(hashes[order[1:]] == hashes[order[:-1]])
+    new[alike] = ~equal_runs(data, start, stop, order[alike], order[alike - 1], blocks)
     which = np.empty(n, dtype=np.int64)
     which[order] = np.cumsum(new) - 1
     return order[new].tolist(), which
@@ -388,8 +410,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     """One row per input row: id and ``ids`` (binary, little-endian unsigned 32-bit).
 
     With ``decoded`` also ``bytes``, what the ids stand for, made from them in the same pass.  A null text is
-    the empty one and has no ids.  Whole texts of any length; a piece of n bytes takes time in proportion
-    to n.  Other columns do not matter.
+    the empty one and has no ids.  Whole texts of any length: a long one is encoded part by part, so what is
+    held beside it and its ids is bounded, but for a single piece without a border (such as a word of many
+    megabytes), which takes time and memory in proportion to its bytes.  Rows that repeat an id are each
+    encoded.  Empty tables give empty results.  Other columns do not matter.
     """
     sent = _ranks(docs, ranks_path)
     narrow = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
@@ -399,7 +423,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         bpe = _bpe(sent.value, pattern)
         for b in batches:
             for c in chunks(b, 1, CHUNK_BYTES):
-                out = bpe.encode_batch(c.column(1).to_pylist())
+                texts = c.column(1).to_pylist()
+                out = [bpe.encode_long(texts[0])] if len(texts) == 1 else bpe.encode_batch(texts)
                 more = [pa.array([bpe.decode(np.frombuffer(x, dtype="<u4")) for x in out], pa.binary())] if decoded else []
                 yield pa.RecordBatch.from_arrays([c.column(0), pa.array(out, pa.binary()), *more], ["__id", "ids", "bytes"][: 2 + decoded])
 

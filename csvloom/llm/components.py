@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Nodes are longs and a component is named by its smallest node.  Every step is a grouped minimum (combined
-before the shuffle) and a join whose large side Spark can split where a node has very many edges; no list
-of neighbours is gathered.  Each round is written to the shared folder, so a lost executor repeats one
+Nodes are values that can be ordered (longs, digests) and a component is named by its smallest node.  Every step is a grouped
+minimum (combined before the shuffle and written) and a join of two plain exchanges, of which Spark splits
+what a node with very many edges makes long; no list of neighbours is gathered.  Each round is written to the shared folder, so a lost executor repeats one
 round at most.  Rounds grow with the logarithm of the largest component.
 """
 
@@ -17,19 +17,19 @@ from csvloom.llm.common import release, stage
 def _large_star(edges: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "edges-least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link a node's smaller neighbours, and the node, to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = stage(edges.groupBy("u").agg(F.min("v").alias("m")), "edges-least")
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``edges``: two columns of longs, in any direction, repeated or not; null ends and loops are ignored.
+    """``edges``: two columns of nodes, in any direction, repeated or not; null ends and loops are ignored.
 
     Returns ``node``, ``component`` for every node that has an edge to another.
     """

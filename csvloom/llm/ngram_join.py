@@ -4,16 +4,21 @@
    64 ranges of the hash, and adds every n-gram of every document to a table of counters of fixed size.
 2. Counters order n-grams from rare to frequent (equal counts by hash).  A second scan emits the prefix of
    each set in that order: sets of similarity t share an n-gram in their first n - ceil(t n) + 1.
-   Documents with equal sets are one node from here on.
+   Documents with equal sets are one node from here on.  Of an n-gram that very many documents may have,
+   a task sends one node of each size and links the others of that size to it: what is sent of it does
+   not grow with the number of its documents.
 3. Nodes meet at each prefix n-gram, sorted by size.  Pairs must pass the length and the positional filter;
    a long list is chained instead (each node to the next within the length filter), which keeps every pair
    that could link in one cluster and grows with the list, not with its square.  Pairs are made distinct
    and pass the suffix filter, a lower bound of the sets' difference from the histograms.
 4. What is left are clusters that contain every link.  Each node's text travels to its cluster once, where
-   every pair that could link is compared once, on whole sets.  Clusters beyond ``block`` nodes are cut in
-   blocks and each pair of blocks is a task of its own.  Links give the components.
+   every pair that could link is compared once, on whole sets.  Clusters beyond ``block`` nodes or
+   ``BLOCK_GRAMS`` n-grams are cut in blocks and each pair of blocks is a task of its own.  Links give the components.
 
-Nodes are named by a 64-bit digest; two different sets share one with a chance of 2**-64 per pair.
+Nodes are named by a 128-bit BLAKE2 digest of the set.
+
+Texts of any length: a long one is cut into sections for hashing, so that a text takes its own bytes and
+eight for each distinct n-gram.
 
 Defined results: words are matched after lower-casing A-Z; a document of fewer than n words has its whole
 sequence as only n-gram; without words it has none and links with nothing; a null text has no words.  Rows
@@ -24,6 +29,7 @@ columns do not matter.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,19 +38,23 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from csvloom.llm.common import bitmap, flag, partitions, stage
+from csvloom.llm.common import bitmap, bits_for, flag, partitions, stage, text_key
 from csvloom.llm.components import connected_components
-from csvloom.llm.textops import Words, chunks, gram_hashes, mix
+from csvloom.llm.textops import LOWER, SECTION, Words, chunks, gram_hashes, mix, sections
 
 #: Counters of the frequency table: fixed, 32 bits each while they are summed, 16 bits of a logarithm once they order n-grams.
 COUNTER_BITS = 24
-#: The table travels in so many parts.
-PARTS = 16
+#: The table travels in so many parts, each summed in so many groups first.
+PARTS, GROUPS = 16, 64
 CELLS = 64
 #: Lists of a prefix n-gram up to this length are paired, longer ones chained.
 LIST = 64
-#: Nodes of a cluster compared in one task.
-BLOCK = 2048
+#: Nodes, and n-grams of nodes, of each of the two blocks compared in one task.
+BLOCK, BLOCK_GRAMS = 512, 4 << 20
+#: An n-gram whose counter is this far above the average is combined before it is sent.
+FREQUENT = 4096
+#: Sets, and n-grams by size, that a task remembers to combine what repeats.
+REMEMBER = 1 << 18
 
 
 def need(a, b, percent: int):
@@ -54,6 +64,12 @@ def need(a, b, percent: int):
 
 def sets_of(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
     """Each text's distinct n-gram hashes, sorted."""
+    if len(texts) == 1 and texts.nbytes > SECTION and texts[0].is_valid:
+        raw = np.frombuffer(texts[0].as_buffer(), dtype=np.uint8)
+        parts = [gram_hashes(Words.of(LOWER[part]).hashes(), n) for _, part in sections(raw, n - 1)]
+        if any(map(len, parts)):
+            yield np.unique(np.concatenate([np.unique(p) for p in parts]))
+            return
     words = Words(texts, lower=True)
     h = words.hashes()
     grams = gram_hashes(h, n)
@@ -66,11 +82,9 @@ def sets_of(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, dtype=np.uint64)
 
 
-def digest(tokens: np.ndarray) -> int:
-    """Digest of a set, as a signed 64-bit integer."""
-    mixed = mix(tokens)
-    both = np.bitwise_xor.reduce(mixed, keepdims=True) + mix(mixed.sum(keepdims=True) + np.uint64(len(tokens)))
-    return int(mix(both).astype(np.int64)[0])
+def digest(tokens: np.ndarray) -> bytes:
+    """Digest of a set."""
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -89,15 +103,15 @@ def levels(counts: np.ndarray) -> np.ndarray:
 
 
 def describe(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (id, node, size, histogram) of all documents, and in rows of their own (part, counts) the counters."""
+    """Rows (id, th, node, size, histogram) of all documents, and in rows of their own (part, counts) the counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTER_BITS, dtype=np.uint32)
         some = False
         for b in batches:
-            for c in chunks(b, 1):
+            for c in chunks(b, 2):
                 node, size, cells, every = [], [], [], []
-                for s in sets_of(c.column(1), n):
+                for s in sets_of(c.column(2), n):
                     size.append(len(s))
                     node.append(digest(s) if len(s) else None)
                     cells.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
@@ -108,62 +122,110 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
                     some = True
                 none = [None] * len(size)
                 yield pa.RecordBatch.from_arrays(
-                    [c.column(0), pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(cells, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], SUMMARY_NAMES
+                    [c.column(0), c.column(1), pa.array(node, pa.binary()), pa.array(size, pa.int32()), pa.array(cells, pa.binary()), pa.array(none, pa.int32()), pa.array(none, pa.binary())], SUMMARY_NAMES
                 )
         if some:
             parts = [packed(p) for p in counts.reshape(PARTS, -1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int32()), pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], SUMMARY_NAMES
+                [pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.binary()), pa.nulls(PARTS, pa.binary()), pa.nulls(PARTS, pa.int32()), pa.nulls(PARTS, pa.binary()), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], SUMMARY_NAMES
             )
 
-    return docs.mapInArrow(run, "id long, node long, size int, cells binary, part int, counts binary")
+    return docs.mapInArrow(run, "id long, th binary, node binary, size int, cells binary, part int, counts binary")
 
 
-SUMMARY_NAMES = ["id", "node", "size", "cells", "part", "counts"]
+SUMMARY_NAMES = ["id", "th", "node", "size", "cells", "part", "counts"]
 
 
 def counter_table(summary: DataFrame) -> np.ndarray:
     """The levels of the summed counters of all tasks; 32 MB in all, whatever the corpus."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                more = unpacked(data, np.uint32)
-                sums[part] = np.minimum(sums.get(part, np.uint64(0)) + more.astype(np.uint64), 0xFFFFFFFF)
-        yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([packed(levels(x)) for x in sums.values()], pa.binary())], ["part", "counts"])
-
-    parts = summary.where("part is not null").select("part", "counts").repartition(PARTS, "part").mapInArrow(run, "part int, counts binary")
+    def add(last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for b in batches:
+                for part, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    more = unpacked(data, np.uint32)
+                    sums[part] = np.minimum(sums.get(part, np.uint64(0)) + more.astype(np.uint64), 0xFFFFFFFF)
+            out = [packed(levels(x) if last else x.astype(np.uint32)) for x in sums.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array(out, pa.binary())], ["part", "counts"])
+
+        return run
+
+    sent = summary.where("part is not null").select("part", "counts")
+    some = sent.repartition(PARTS * GROUPS, "part", F.pmod(F.xxhash64("counts"), F.lit(GROUPS))).mapInArrow(add(False), "part int, counts binary")
+    parts = some.repartition(PARTS, "part").mapInArrow(add(True), "part int, counts binary")
     out = np.zeros((PARTS, (1 << COUNTER_BITS) // PARTS), dtype=np.uint16)
     for r in parts.collect():  # at most PARTS rows
         out[r["part"]] = unpacked(bytes(r["counts"]), np.uint16)
     return out.ravel()
 
 
-def prefixes(docs: DataFrame, counters, n: int, percent: int) -> DataFrame:
-    """Rows (token, node, size, place) of the rarest n-grams of each set."""
+def names_of(nodes: np.ndarray) -> pa.Array:
+    """Rows of 16 bytes as binary values."""
+    offsets = np.arange(len(nodes) + 1, dtype=np.int32) * 16
+    return pa.Array.from_buffers(pa.binary(), len(nodes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(nodes))])
+
+
+def nodes_of(names: pa.Array) -> np.ndarray:
+    """Binary values of 16 bytes each as rows."""
+    return np.frombuffer(b"".join(names.to_pylist()), dtype=np.uint8).reshape(-1, 16)
+
+
+def prefixes(docs: DataFrame, counters, average: float, n: int, percent: int, frequent: int = FREQUENT) -> DataFrame:
+    """Rows (token, node, size, place) of the rarest n-grams of each set; rows with ``other`` are pairs that were made before.
+
+    ``average`` is the mean of the counters.
+    """
+    limit = int(levels(np.array([frequent + 8 * average]))[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(counters.value, dtype=np.uint16)
+        seen: set[bytes] = set()
+        first_of: dict[tuple[int, int], bytes] = {}
         for b in batches:
-            seen: set[int] = set()
             for c in chunks(b, 1):
-                token, node, size, place = [], [], [], []
+                token, node, size, place, linked = [], [], [], [], []
                 for s in sets_of(c.column(1), n):
                     if not len(s) or (name := digest(s)) in seen:
                         continue
+                    if len(seen) >= REMEMBER:
+                        seen.clear()
                     seen.add(name)
                     k = len(s) + (-percent * len(s)) // 100 + 1
                     rank = table[(s >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
-                    first = s[np.argsort(rank, kind="stable")[:k]]  # s is sorted: equal ranks stand by hash
-                    token.append(first.astype(np.int64))
-                    node.append(np.full(k, name, dtype=np.int64))
-                    size.append(np.full(k, len(s), dtype=np.int32))
-                    place.append(np.arange(k, dtype=np.int32))
+                    order = np.argsort(rank, kind="stable")[:k]  # s is sorted: equal ranks stand by hash
+                    first = s[order].astype(np.int64)
+                    at = np.arange(k, dtype=np.int32)
+                    if rank[order[-1]] >= limit:
+                        send = np.ones(k, dtype=bool)
+                        others = set()
+                        for i in np.flatnonzero(rank[order] >= limit).tolist():
+                            if len(first_of) >= REMEMBER:
+                                first_of.clear()
+                            other = first_of.setdefault((int(first[i]), len(s)), name)
+                            if other != name:
+                                send[i] = False
+                                others.add(other)
+                        linked += [(name, other, len(s)) for other in others]
+                        first, at = first[send], at[send]
+                    token.append(first)
+                    node += [name] * len(first)
+                    size.append(np.full(len(first), len(s), dtype=np.int32))
+                    place.append(at)
                 if token:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, node, size, place)], ["token", "node", "size", "place"])
+                    some = [np.concatenate(x) for x in (token, size, place)]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.concatenate([some[0], np.frombuffer(b"".join(x[:8] for x, _, _ in linked), dtype="<i8")])),
+                            pa.array(node + [x for x, _, _ in linked], pa.binary()),
+                            pa.array(np.concatenate([some[1], np.array([m for _, _, m in linked], dtype=np.int32)])),
+                            pa.array(np.concatenate([some[2], np.zeros(len(linked), dtype=np.int32)])),
+                            pa.array([None] * len(node) + [x for _, x, _ in linked], pa.binary()),
+                        ],
+                        ["token", "node", "size", "place", "other"],
+                    )
 
-    return docs.mapInArrow(run, "token long, node long, size int, place int")
+    return docs.mapInArrow(run, "token long, node binary, size int, place int, other binary")
 
 
 def meet(rows: DataFrame, percent: int, most: int) -> DataFrame:
@@ -171,64 +233,79 @@ def meet(rows: DataFrame, percent: int, most: int) -> DataFrame:
     dealt = rows.repartition(partitions(rows.sparkSession), "token").sortWithinPartitions("token", "size", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int]] = []  # of the current token; only the last one once the list is long
-        current, count = None, 0
-        names = ["a", "b", "size_a", "size_b", "loose"]
-
-        def pairs(group, out):
-            if len(group) > 8:
-                n, node, p = (np.array(x, dtype=np.int64) for x in zip(*group))
-                i, j = np.triu_indices(len(group), 1)
-                some = (n[i] * 100 >= percent * n[j]) & (np.minimum(n[i] - p[i], n[j] - p[j]) >= need(n[i], n[j], percent))
-                i, j = i[some], j[some]
-                turn = node[i] > node[j]
-                i, j = np.where(turn, j, i), np.where(turn, i, j)
-                out += zip(node[i].tolist(), node[j].tolist(), n[i].tolist(), n[j].tolist(), [False] * len(i))
-                return
-            for j, (nb, b, pb) in enumerate(group):
-                for na, a, pa_ in group[:j]:
-                    if na * 100 >= percent * nb and min(na - pa_, nb - pb) >= need(na, nb, percent):
-                        out.append((a, b, na, nb, False) if a < b else (b, a, nb, na, False))
-
-        def chain(group, out):
-            for (na, a, _), (nb, b, _) in zip(group, group[1:]):
-                if na * 100 >= percent * nb:
-                    out.append((a, b, na, nb, True) if a < b else (b, a, nb, na, True))
-
-        def made(out):
+        held = [np.zeros(0, np.int64), np.zeros((0, 16), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)]  # of the last token
+        long = False  # has that token's list been too long already?
+
+        def made(found: list[tuple]) -> pa.RecordBatch:
+            a, b, na, nb, loose = (np.concatenate(x) for x in zip(*found))
             # a pair meets at many n-grams: once per batch is enough
-            cols = list(zip(*dict.fromkeys(out))) or [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], names)
+            turn = key(a) > key(b)
+            a, b = np.where(turn[:, None], b, a), np.where(turn[:, None], a, b)
+            na, nb = np.where(turn, nb, na), np.where(turn, na, nb)
+            both = np.ascontiguousarray(np.concatenate([a, b, loose[:, None].astype(np.uint8)], axis=1)).view("V33").ravel()
+            once = np.unique(both, return_index=True)[1]
+            return pa.RecordBatch.from_arrays(
+                [names_of(a[once]), names_of(b[once]), pa.array(na[once].astype(np.int32)), pa.array(nb[once].astype(np.int32)), pa.array(loose[once])], ["a", "b", "size_a", "size_b", "loose"]
+            )
 
-        for batch in batches:
-            out: list[tuple] = []
-            token, node, size, place = (batch.column(i).to_numpy() for i in range(4))
+        def key(nodes: np.ndarray) -> np.ndarray:
+            return np.ascontiguousarray(nodes).view("S16").ravel()
+
+        def pairs(token, node, size, place, chained) -> list[tuple]:
+            """Pairs within each token's rows; of ``chained`` rows only neighbours."""
+            found = []
+            for step in range(1, most):
+                i = np.flatnonzero((token[step:] == token[:-step]) & ((step == 1) | ~chained[step:]))
+                if not len(i):
+                    break
+                j = i + step
+                na, nb, loose = size[i], size[j], chained[j]
+                # sorted by size: na <= nb
+                good = (na * 100 >= percent * nb) & (loose | (np.minimum(na - place[i], nb - place[j]) >= need(na, nb, percent)))
+                good &= (node[i] != node[j]).any(axis=1)
+                i, j = i[good], j[good]
+                found.append((node[i], node[j], size[i], size[j], loose[good]))
+            return found
+
+        def step(final: bool, new: list[np.ndarray]) -> list[tuple]:
+            """Pairs of all tokens but the last one, whose list may go on; of that one, once it is long, the chain so far."""
+            nonlocal held, long
+            token, node, size, place = (np.concatenate([x, y]) for x, y in zip(held, new))
             if not len(token):
-                continue
-            bounds = np.concatenate([[0], np.flatnonzero(token[1:] != token[:-1]) + 1, [len(token)]])
-            many = np.diff(bounds) > 1
-            many[[0, -1]] = True  # may go on in the batches beside; any other lone token meets nothing
-            for i, j in zip(bounds[:-1][many].tolist(), bounds[1:][many].tolist()):
-                if token[i] != current:
-                    if count <= most:
-                        pairs(held, out)
-                    current, count, held = token[i], 0, []
-                for k in range(i, j):
-                    row = (int(size[k]), int(node[k]), int(place[k]))
-                    if held and held[-1][:2] == row[:2]:
-                        continue
-                    held.append(row)
-                    count += 1
-                    if count > most:
-                        chain(held, out)
-                        held = held[-1:]
-            yield made(out)
-        out = []
-        if count <= most:
-            pairs(held, out)
-        yield made(out)
-
-    found = dealt.mapInArrow(run, "a long, b long, size_a int, size_b int, loose boolean")
+                return []
+            # rows of one set that several tasks sent
+            again = np.concatenate([[False], (token[1:] == token[:-1]) & (size[1:] == size[:-1]) & (node[1:] == node[:-1]).all(axis=1)])
+            token, node, size, place = (x[~again] for x in (token, node, size, place))
+            begins = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            many = np.diff(np.append(begins, len(token)))
+            chained = np.repeat(many > most, many)
+            if long:
+                chained[: many[0]] = True
+            last = begins[-1]
+            open_long = bool(chained[last])
+            end = len(token) if final or open_long else last
+            found = pairs(token[:end], node[:end], size[:end], place[:end], chained[:end])
+            keep = len(token) if final else len(token) - 1 if open_long else last
+            held, long = [x[keep:] for x in (token, node, size, place)], open_long and not final
+            return found
+
+        for b in batches:
+            pair = b.column(4).is_valid().to_numpy(zero_copy_only=False)
+            found = []
+            if pair.any():
+                some = pa.array(pair)
+                n = b.column(2).filter(some).to_numpy().astype(np.int64)
+                found.append((nodes_of(b.column(1).filter(some)), nodes_of(b.column(4).filter(some)), n, n, np.ones(len(n), dtype=bool)))
+            rest = pa.array(~pair)
+            token, size, place = (b.column(i).filter(rest).to_numpy() for i in (0, 2, 3))
+            found += step(False, [token, nodes_of(b.column(1).filter(rest)), size.astype(np.int64), place.astype(np.int64)])
+            if found:
+                yield made(found)
+        found = step(True, [x[:0] for x in held])
+        if found:
+            yield made(found)
+
+    found = dealt.mapInArrow(run, "a binary, b binary, size_a int, size_b int, loose boolean")
     return found.groupBy("a", "b", "size_a", "size_b").agg(F.max("loose").alias("loose"))
 
 
@@ -246,7 +323,7 @@ def suffix_filter(pairs: DataFrame, cells: DataFrame, percent: int) -> DataFrame
     full = pairs.join(cells.select(F.col("node").alias("a"), F.col("cells").alias("cells_a")), "a").join(
         cells.select(F.col("node").alias("b"), F.col("cells").alias("cells_b")), "b"
     )
-    return full.select("a", "b", "size_a", "size_b", "loose", "cells_a", "cells_b").mapInArrow(run, "a long, b long")
+    return full.select("a", "b", "size_a", "size_b", "loose", "cells_a", "cells_b").mapInArrow(run, "a binary, b binary")
 
 
 def link_groups(sets: list[np.ndarray], left: list[int], right: list[int] | None, percent: int) -> list[int]:
@@ -296,11 +373,13 @@ def link_groups(sets: list[np.ndarray], left: list[int], right: list[int] | None
 
 
 def verify(docs: DataFrame, members: DataFrame, n: int, percent: int, block: int) -> DataFrame:
-    """Edges (node, root) of all links within clusters.  ``members``: id, node, cluster, one row per node."""
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    """Edges (node, root) of all links within clusters.  ``members``: id, node, size, cluster, one row per node."""
+    wanted = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_GRAMS))
+    sizes = members.groupBy("cluster").agg(F.least(wanted, F.count("*")).cast("int").alias("blocks"))
     placed = members.join(sizes, "cluster").select("id", "node", "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"))
-    some = flag(docs, bitmap(members, "id"), "__maybe", F.col("id")).where("__maybe").select("id", "text")
-    texts = some.join(placed.hint("shuffle_hash"), "id")
+    bits = bits_for(members)
+    some = flag(docs, bitmap(members, "id", bits=bits), "__maybe", F.col("id"), bits=bits).where("__maybe").select("id", "text")
+    texts = some.join(placed, "id")
     dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "node", "text"
     )
@@ -332,40 +411,49 @@ def verify(docs: DataFrame, members: DataFrame, n: int, percent: int, block: int
                         nodes.append(node)
                         sets.append(s)
                         mine.append(m)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
         a, b = finish()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def jaccard_components(
-    docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", list_size: int = LIST, block: int = BLOCK
+    docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", list_size: int = LIST, block: int = BLOCK, frequent: int = FREQUENT, keys: bool = False
 ) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id`` (smallest id reachable over links, its own included).
 
-    Documents link when 100 * overlap >= percent * union.  Ids are longs.
+    Documents link when 100 * overlap >= percent * union.  Ids are longs.  With ``keys`` also ``th``, the row's
+    :func:`~csvloom.llm.common.text_key`, and ``kept``: is it the one of its component with the smallest id (of
+    those that repeat that id, the smallest key)?  Documents without words are kept.
     """
     if not 0 < percent <= 100 or n < 1:
         raise ValueError("percent must be in 1..100 and n positive")
     last = F.lit((1 << 63) - 1)  # stands for a null id
-    narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    summary = stage(describe(narrow, n), "join-summary")
-    rows = summary.where("part is null").select("id", "node", "size", "cells")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    full = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), (text_key(text) if keys else F.lit(None).cast("binary")).alias("th"), text.alias("text"))
+    narrow = full.select("id", "text")
+    summary = stage(describe(full, n), "join-summary")
+    rows = summary.where("part is null").select("id", "th", "node", "size", "cells")
     counters = docs.sparkSession.sparkContext.broadcast(counter_table(summary).tobytes())
+    average = (rows.agg(F.sum("size")).first()[0] or 0) / (1 << COUNTER_BITS)
 
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("cells").alias("cells"))
-    pairs = meet(prefixes(narrow, counters, n, percent), percent, list_size)
+    nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("cells").alias("cells"))
+    pairs = meet(prefixes(narrow, counters, average, n, percent, frequent), percent, list_size)
     candidates = suffix_filter(pairs, nodes, percent)
     clusters = connected_components(candidates).select("node", F.col("component").alias("cluster"))
-    members = stage(nodes.select("node", "id").join(clusters, "node"), "join-members")
+    members = stage(nodes.select("node", "id", "size").join(clusters, "node"), "join-members")
     links = connected_components(verify(narrow, members, n, percent, block))
 
-    rooted = rows.select("id", "node", "size").join(links, "node", "left").select("id", "size", F.coalesce("component", "node").alias("root"))
+    own = F.struct("id", "th")
+    rooted = rows.select("id", "th", "node", "size").join(links, "node", "left").select("id", "th", "size", F.coalesce("component", "node").alias("root"))
     # written, so that the join's sides are plain exchanges, of which Spark splits one that a large group makes long
-    least = stage(rooted.where("root is not null").groupBy("root").agg(F.min("id").alias("component_id")), "join-least")
-    linked = rooted.where("root is not null").join(least, "root").select("id", "size", "component_id")
-    alone = rooted.where("root is null").select("id", "size", F.col("id").alias("component_id"))
+    least = stage(rooted.where("root is not null").groupBy("root").agg(F.min(own).alias("first")), "join-least")
+    linked = rooted.where("root is not null").join(least, "root").select("id", "th", "size", F.col("first.id").alias("component_id"), own.eqNullSafe(F.col("first")).alias("kept"))
+    alone = rooted.where("root is null").select("id", "th", "size", F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     return linked.unionByName(alone).select(
-        F.nullif("id", last).alias(id_col), F.col("size").cast("long").alias("n_shingles"), F.nullif("component_id", last).alias("component_id")
+        F.nullif("id", last).alias(id_col),
+        F.col("size").cast("long").alias("n_shingles"),
+        F.nullif("component_id", last).alias("component_id"),
+        *(["th", "kept"] if keys else []),
     )

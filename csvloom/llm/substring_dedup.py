@@ -4,17 +4,21 @@ A window is ``window`` consecutive words of one document.  Its minimiser is the
 of ``k`` words.  Consecutive windows with the same minimiser (a super-k-mer) travel as one packed string to
 the minimiser's bucket, where the windows are sorted and equal ones, word for word, stand side by side.
 
-1. The first scan sends only (minimiser, id).  Minimisers of one document share nothing; the others go into
-   a bitmap of fixed size.
+1. The first scan sends only (minimiser, id, how many).  Minimisers of one document share nothing; the others
+   go into a bitmap of fixed size.
 2. The second scan packs and sends the super-k-mers whose minimiser may be shared.  A string that the task
    has already met in a document with a smaller id is settled on the spot and sends its range of words
-   instead, so copies do not pile up in a bucket.  Those of a minimiser with very many rows are cut into single windows that travel under their own hash: there the rows stand
-   in order of id and the smallest comes first, so such a bucket needs no memory.
-3. Each bucket yields the word ranges to remove, which are joined to the documents.
+   instead, so copies do not pile up in a bucket (rows are taken in order of id, batch by batch).  Those of a
+   minimiser with very many super-k-mers are cut into single windows that travel under their own hash: there
+   the rows stand in order of id and the smallest comes first, so such a bucket needs no memory.
+3. Each bucket yields the word ranges to remove.  A bucket whose windows do not fit in ``BUCKET_BYTES`` is passed
+   on as single windows to a second round.
+4. Documents with a range are joined with their ranges; all others, told by a bitmap, pass in the scan.
 
 Defined results: a null or empty text has no words; a document shorter than a window loses nothing; words of
 documents with equal ids are not removed on account of each other; rows that repeat an id and a text get the
-same result; a null id counts as larger than all others.  An empty table gives no rows.  Other columns do not matter.
+same result; a null id counts as larger than all others.  Texts of any length: long ones are worked on section
+by section, so what is held beside a text is bounded.  An empty table gives no rows.  Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -23,20 +27,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from csvloom.llm.common import partitions, stage
-from csvloom.llm.textops import Words, chunks, gram_hashes, mix, run_hashes, sliding_min
+from csvloom.llm.common import bitmap, bits_for, flag, partitions, release, stage
+from csvloom.llm.textops import SECTION, Words, chunks, gram_hashes, mix, run_hashes, sections, sliding_min
 
 WINDOW = 50
 #: Words of the runs whose smallest hash is the minimiser.
 K = 8
 #: Bits of the bitmap of shared minimisers (8 MB at all sizes).
 SHARED_BITS = 26
-#: Rows from which a minimiser counts as hot; never so low that more than HOT_LIST minimisers could be.
-HOT_ROWS = 5000
+#: Super-k-mers from which a minimiser counts as hot, so that no task gets many of them; never so low that more than
+#: HOT_LIST minimisers could be.
+HOT_ROWS = 1000
 HOT_LIST = 1 << 20
+#: Bytes that the windows of a bucket may take, whatever the corpus.
+BUCKET_BYTES = 48 << 20
 #: Bytes of strings that a task remembers to settle repeats.
 REMEMBER = 24 << 20
 #: What a row carries: a super-k-mer, a single window, or a range that is settled.
@@ -45,9 +53,31 @@ MANY, SINGLE, SETTLED = 0, 1, 2
 LONGEST = 512
 
 
-def window_minimisers(texts: pa.Array, window: int, k: int) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """The words, and for each run of windows with one minimiser: its first window, one past its last, the minimiser."""
-    words = Words(texts)
+def units(batch: pa.RecordBatch, text: int, overlap: int) -> Iterator[tuple[Words, np.ndarray, int]]:
+    """The words of some rows at a time, the rows, and how many words of the row's text come before.
+
+    Several short texts come together, a long one in sections that share ``overlap`` words.
+    """
+    at = 0
+    for c in chunks(batch, text):
+        rows = np.arange(at, at + len(c))
+        at += len(c)
+        column = c.column(text)
+        if len(c) == 1 and column.nbytes > SECTION and column[0].is_valid:
+            for before, part in sections(np.frombuffer(column[0].as_buffer(), dtype=np.uint8), overlap):
+                yield Words.of(part), rows, before
+        else:
+            yield Words(column), rows, 0
+
+
+def by_id(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The rows in order of their first column."""
+    ids = batch.column(0).to_numpy()
+    return batch if (ids[1:] >= ids[:-1]).all() else batch.take(pa.array(np.argsort(ids, kind="stable")))
+
+
+def window_minimisers(words: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each run of windows with one minimiser: its first window, one past its last, the minimiser."""
     least = sliding_min(gram_hashes(words.hashes(), k), window - k + 1) if len(words) >= window else np.zeros(0, np.uint64)
     n = len(least)
     valid = np.zeros(n + 1, dtype=np.int64)
@@ -66,20 +96,23 @@ def window_minimisers(texts: pa.Array, window: int, k: int) -> tuple[Words, np.n
     which = np.repeat(np.arange(len(start)), pieces)
     nth = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     cut = start[which] + nth * LONGEST
-    return words, cut, np.minimum(cut + LONGEST, stop[which]), least[start][which]
+    return cut, np.minimum(cut + LONGEST, stop[which]), least[start][which]
 
 
 def _shared(narrow: DataFrame, window: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in chunks(b, 2):
-                words, start, _, least = window_minimisers(c.column(2), window, k)
-                doc = np.searchsorted(words.first, start, side="right") - 1
-                once = np.unique(np.stack([least.astype(np.int64), doc]), axis=1) if len(doc) else np.zeros((2, 0), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(c.column(0).to_numpy()[once[1]])], ["least", "id"])
+            for words, rows, _ in units(b, 2, window - 1):
+                start, _, least = window_minimisers(words, window, k)
+                if not len(start):
+                    continue
+                place = np.searchsorted(words.first, start, side="right") - 1
+                ids = b.column(0).to_numpy()[rows[place]]
+                once, n = np.unique(np.stack([least.astype(np.int64), ids]), axis=1, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1]), pa.array(n)], ["least", "id", "n"])
 
-    made = narrow.mapInArrow(run, "least long, id long")
-    return made.groupBy("least").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).where("a < b").select("least", "n")
+    made = narrow.mapInArrow(run, "least long, id long, n long")
+    return made.groupBy("least").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.sum("n").alias("n")).where("a < b").select("least", "n")
 
 
 def _bitmap(shared: DataFrame, bits: int) -> np.ndarray:
@@ -95,24 +128,36 @@ def _bitmap(shared: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _covered(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Ranges of words to remove, from rows (key, kind, id, th, start, n, packed) sorted by key, kind and id."""
-    out: tuple[list, ...] = ([], [], [], [])
+FOUND = "id long, th long, a int, b int, key long, packed binary"
+
+
+def _covered(batches: Iterator[pa.RecordBatch], window: int, room: int) -> Iterator[pa.RecordBatch]:
+    """From rows (key, kind, id, th, start, n, packed) sorted by key, kind and id: ranges of words to remove, or,
+    of a bucket that takes more than ``room`` bytes, its single windows (their first word, key and text)."""
+    out: tuple[list, ...] = ([], [], [], [], [], [])
     group: tuple | None = None
     rows: list[tuple] = []
+    owner: dict[bytes, int] = {}
     least: dict[bytes, int] = {}
+    left = room
 
-    def emit(doc: int, th: int, a: int, b: int) -> None:
-        for held, x in zip(out, (doc, th, a, b)):
+    def emit(*row) -> None:
+        for held, x in zip(out, row):
             held.append(x)
 
+    def windows(packed: bytes) -> list[bytes]:
+        gaps = np.flatnonzero(np.frombuffer(packed, dtype=np.uint8) == 0x20)
+        begin = np.concatenate([[0], gaps + 1])[: len(gaps) + 2 - window].tolist()
+        return [packed[i:j] for i, j in zip(begin, np.append(gaps, len(packed))[window - 1 :].tolist())]
+
+    def pass_on(doc: int, th: int, start: int, packed: bytes) -> None:
+        for w, text in enumerate(windows(packed)):
+            emit(doc, th, start + w, None, xxhash.xxh3_64_intdigest(text) - (1 << 63), text)
+
     def finish() -> None:
         """Sort the windows of a bucket's distinct strings and find the smallest id of each."""
         if not rows or rows[0][0] == rows[-1][0]:
             return
-        owner: dict[bytes, int] = {}
-        for doc, _, _, packed in rows:
-            owner.setdefault(packed, doc)  # rows are in order of id
         found: dict[bytes, np.ndarray] = {}
         if len(owner) == 1:
             for packed, doc in owner.items():
@@ -120,11 +165,9 @@ def _covered(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         else:
             every = []
             for s, (packed, doc) in enumerate(owner.items()):
-                gaps = np.flatnonzero(np.frombuffer(packed, dtype=np.uint8) == 0x20)
-                begin = np.concatenate([[0], gaps + 1])
-                end = np.append(gaps, len(packed))[window - 1 :]
-                found[packed] = np.full(len(end), doc, dtype=np.int64)
-                every += [(packed[i:j], doc, s, w) for w, (i, j) in enumerate(zip(begin.tolist(), end.tolist()))]
+                cut = windows(packed)
+                found[packed] = np.full(len(cut), doc, dtype=np.int64)
+                every += [(text, doc, s, w) for w, text in enumerate(cut)]
             every.sort()
             tables = list(found.values())
             same, smallest = None, 0
@@ -135,10 +178,11 @@ def _covered(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
         for doc, th, start, packed in rows:
             gone = np.flatnonzero(np.diff(np.concatenate([[0], found[packed] < doc, [0]])))
             for a, b in zip(gone[::2].tolist(), gone[1::2].tolist()):
-                emit(doc, th, start + a, start + b - 1 + window)
+                emit(doc, th, start + a, start + b - 1 + window, None, None)
 
     def flush() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int32())], ["id", "th", "a", "b"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+        made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["id", "th", "a", "b", "key", "packed"])
         for held in out:
             held.clear()
         return made
@@ -150,20 +194,35 @@ def _covered(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
                 finish()
                 group = (key[i], kind[i])
                 rows.clear()
+                owner.clear()
                 least.clear()
+                left = room
             if kind[i] == SETTLED:
-                emit(doc[i], th[i], start[i], start[i] + n[i] - 1 + window)
+                emit(doc[i], th[i], start[i], start[i] + n[i] - 1 + window, None, None)
             elif kind[i] == SINGLE:
                 if least.setdefault(packed[i], doc[i]) < doc[i]:
-                    emit(doc[i], th[i], start[i], start[i] + window)
+                    emit(doc[i], th[i], start[i], start[i] + window, None, None)
             else:
-                rows.append((doc[i], th[i], start[i], packed[i]))
+                left -= 200
+                if left >= 0 and packed[i] not in owner:
+                    owner[packed[i]] = doc[i]  # rows are in order of id
+                    left -= n[i] * (len(packed[i]) * window // (n[i] + window - 1) + 200)
+                if left >= 0:
+                    rows.append((doc[i], th[i], start[i], packed[i]))
+                    continue
+                for row in rows:
+                    pass_on(*row)
+                rows.clear()
+                owner.clear()
+                pass_on(doc[i], th[i], start[i], packed[i])
+                if len(out[0]) >= 10_000:
+                    yield flush()
         yield flush()
     finish()
     yield flush()
 
 
-def removed_ranges(docs: DataFrame, window: int = WINDOW, k: int = K, hot_rows: int = HOT_ROWS) -> DataFrame:
+def removed_ranges(docs: DataFrame, window: int = WINDOW, k: int = K, hot_rows: int = HOT_ROWS, room: int = BUCKET_BYTES) -> DataFrame:
     """Word ranges to remove as rows (id, th, a, b): words a to b - 1 of the document with this id and text hash.
 
     ``docs``: id (long), th (hash of the text), text.
@@ -173,42 +232,35 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, k: int = K, hot_rows:
     total = shared.agg(F.sum("n")).first()[0] or 0
     hot = shared.where(F.col("n") > max(hot_rows, total // HOT_LIST)).select("least").toArrow().column("least").to_numpy()  # at most HOT_LIST
     sent = spark.sparkContext.broadcast((_bitmap(shared, SHARED_BITS).tobytes(), np.sort(hot).tobytes()))
+    release(shared)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sent.value[0], dtype=np.uint64)
         known_hot = np.frombuffer(sent.value[1], dtype=np.int64)
         met: dict[bytes, int] = {}
         room = REMEMBER
-        for b in batches:
-            for c in chunks(b, 2):
-                words, start, stop, least = window_minimisers(c.column(2), window, k)
+        for b in map(by_id, batches):
+            ids, hashes = (b.column(i).to_numpy() for i in (0, 1))
+            for words, rows, before in units(b, 2, window - 1):
+                start, stop, least = window_minimisers(words, window, k)
                 low = least & np.uint64((1 << SHARED_BITS) - 1)
                 maybe = (bits[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
                 start, stop, key = start[maybe], stop[maybe], least[maybe].astype(np.int64)
                 if not len(start):
                     continue
-                # all words with one space after each
-                size = words.stop - words.start + 1
-                off = np.concatenate([[0], np.cumsum(size)])
-                flat = np.full(off[-1], 0x20, dtype=np.uint8)
-                gap = np.zeros(off[-1], dtype=bool)
-                gap[off[1:] - 1] = True
-                flat[~gap] = words.data[np.repeat(words.start - off[:-1], size)[~gap] + np.flatnonzero(~gap)]
+                flat, off = words.spaced()
                 is_hot = np.isin(key, known_hot)
+                kind = np.full(len(start), MANY)
                 if is_hot.any():
                     n = (stop - start)[is_hot]
                     at = np.repeat(start[is_hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    own = run_hashes(flat, off[at], ends=off[at + window] - 1).astype(np.int64)
-                    start = np.concatenate([start[~is_hot], at])
-                    stop = np.concatenate([stop[~is_hot], at + 1])
-                    key = np.concatenate([key[~is_hot], own])
-                    kind = np.concatenate([np.full((~is_hot).sum(), MANY), np.full(len(at), SINGLE)])
-                else:
-                    kind = np.full(len(start), MANY)
+                    own = run_hashes(flat, off[at], off[at + window] - 1).astype(np.int64)
+                    start, stop, key = (np.concatenate([x[~is_hot], y]) for x, y in ((start, at), (stop, at + 1), (key, own)))
+                    kind = np.repeat([MANY, SINGLE], [(~is_hot).sum(), len(at)])
                 place = np.searchsorted(words.first, start, side="right") - 1
                 data = flat.tobytes()
                 packed: list[bytes | None] = [data[i:j] for i, j in zip(off[start].tolist(), (off[stop + window - 1] - 1).tolist())]
-                doc = c.column(0).to_numpy()[place]
+                doc = ids[rows[place]]
                 settled = []
                 for r, (text, i) in enumerate(zip(packed, doc.tolist())):
                     held = met.get(text)
@@ -228,8 +280,8 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, k: int = K, hot_rows:
                         pa.array(key),
                         pa.array(kind.astype(np.int32)),
                         pa.array(doc),
-                        c.column(1).take(pa.array(place)),
-                        pa.array((start - words.first[place]).astype(np.int32)),
+                        pa.array(hashes[rows[place]]),
+                        pa.array((start - words.first[place] + before).astype(np.int32)),
                         pa.array((stop - start).astype(np.int32)),
                         pa.array(packed, pa.binary()),
                     ],
@@ -237,11 +289,21 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, k: int = K, hot_rows:
                 )
 
     sent_rows = docs.mapInArrow(pack, "key long, kind int, id long, th long, start int, n int, packed binary")
-    dealt = sent_rows.repartition(partitions(spark), "key", "kind").sortWithinPartitions("key", "kind", "id")
-    return dealt.mapInArrow(lambda batches: _covered(batches, window), "id long, th long, a int, b int")
 
+    def resolved(rows: DataFrame) -> DataFrame:
+        dealt = rows.repartition(partitions(spark), "key", "kind").sortWithinPartitions("key", "kind", "id")
+        return dealt.mapInArrow(lambda batches: _covered(batches, window, room), FOUND)
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
+    found = stage(resolved(sent_rows), "substring-found")
+    singles = found.where("packed is not null").select(
+        "key", F.lit(SINGLE).alias("kind"), "id", "th", F.col("a").alias("start"), F.lit(1).alias("n"), "packed"
+    )
+    return found.where("packed is null").unionByName(resolved(singles)).select("id", "th", "a", "b")
+
+
+def remove_repeats(
+    docs: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS, room: int = BUCKET_BYTES
+) -> DataFrame:
     """One row per input row: id, ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by one space).
 
     A word goes if it lies in a window whose words also stand in a document with a smaller id.
@@ -251,25 +313,35 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K, id_col: st
     last = F.lit((1 << 63) - 1)  # stands for a null id
     text = F.coalesce(F.col(text_col), F.lit(""))
     narrow = docs.select(F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    ranges = removed_ranges(narrow, window, k, hot_rows).groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
-    joined = narrow.join(ranges.hint("shuffle_hash"), ["id", "th"], "left").select("id", "text", "gone")
+    ranges = removed_ranges(narrow, window, k, hot_rows, room).groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
+    # written, so that the join's sides are plain exchanges
+    ranges = stage(ranges.withColumnsRenamed({"id": "__id", "th": "__th"}), "substring-ranges")
+    bits = bits_for(ranges)
+    marked = flag(narrow, bitmap(ranges, "__id", "__th", bits=bits), "__maybe", F.col("id"), F.col("th"), bits=bits)
+    touched = marked.where("__maybe").join(ranges, (F.col("id") == F.col("__id")) & (F.col("th") == F.col("__th")), "left").select("id", "text", "gone")
+    whole = marked.where("not __maybe").select("id", "text", F.lit(None).cast(touched.schema["gone"].dataType).alias("gone"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n_words, n_removed, kept = [], [], []
-            for text, gone in zip(b.column(1), b.column(2)):
-                words = text.as_buffer().to_pybytes().split()
-                n_words.append(len(words))
-                if gone.is_valid:
-                    keep = np.ones(len(words), dtype=bool)
-                    for r in gone.as_py():
-                        keep[r["a"] : r["b"]] = False
-                    words = [words[i] for i in np.flatnonzero(keep).tolist()]
-                n_removed.append(n_words[-1] - len(words))
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["id", "n_words", "n_removed", "kept_text"]
-            )
-
-    out = joined.mapInArrow(cut, "id long, n_words long, n_removed long, kept_text string")
+            n_words, n_removed = np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+            kept: list[list[bytes]] = [[] for _ in range(len(b))]
+            gone = [[] if g is None else [(r["a"], r["b"]) for r in g] for g in b.column(2).to_pylist()]
+            for words, rows, before in units(b, 1, 0):
+                keep = np.ones(len(words), dtype=bool)
+                for d, row in enumerate(rows.tolist()):
+                    first, end = int(words.first[d]), int(words.first[d + 1])
+                    for x, y in gone[row]:
+                        keep[min(max(first, first + x - before), end) : max(first, min(end, first + y - before))] = False
+                flat, off = words.spaced(keep)
+                data = flat.tobytes()
+                at = np.concatenate([[0], np.cumsum(keep)])[words.first]
+                for d, row in enumerate(rows.tolist()):
+                    n_words[row] += words.first[d + 1] - words.first[d]
+                    n_removed[row] += words.first[d + 1] - words.first[d] - (at[d + 1] - at[d])
+                    if at[d + 1] > at[d]:
+                        kept[row].append(data[off[at[d]] : off[at[d + 1]] - 1])
+            texts = pa.array([b" ".join(x) for x in kept], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words), pa.array(n_removed), texts], ["id", "n_words", "n_removed", "kept_text"])
+
+    out = touched.unionByName(whole).mapInArrow(cut, "id long, n_words long, n_removed long, kept_text string")
     return out.select(F.nullif("id", last).alias(id_col), "n_words", "n_removed", "kept_text")
