@@ -58,7 +58,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256")
     )
-    return exact_dedup.exact_dedup(docs, carry=["text_sha256"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup.exact_dedup(docs, carry=["text_sha256"], hash_col="text_sha256").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
