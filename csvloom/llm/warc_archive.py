@@ -10,9 +10,11 @@ Most payloads occur once.  A bitmap of fixed size over the digests that repeat t
 scan, so single payloads go to the store without a shuffle and only repeated ones are grouped.
 
 Defined results: a null payload is the empty one; payloads shorter than ``min_bytes`` are never shared; a
-null URL gives a record without target; CR and LF in a URL are percent-encoded; of rows that repeat an
-id and a payload, one is the response.  A null id counts as the smallest and is written as ``null``.  Empty tables give an empty archive.  Other columns do not
-matter.
+null URL gives a record without target, an empty one an empty target; CR and LF in a URL are percent-encoded, and such a URL
+also stands in a field of its own in base64, so that every URL reads back as it was; of rows that repeat an
+id and a payload, one is the response.  A null id counts as the smallest and is written as ``null``.  Payloads
+are held one at a time, up to the two gigabytes of a binary value.  Empty tables give an empty archive.  Other
+columns do not matter.
 """
 
 from __future__ import annotations
@@ -22,12 +24,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from csvloom.llm.common import bitmap, flag, stage
+from csvloom.llm.common import bitmap, bits_for, flag, stage
 
 CRLF = "\r\n"
 #: Fixed values of the formats written: RFC 4648 base32 digits, the WARC version and the revisit profile.
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 VERSION = "WARC/1.1"
+#: Extension field for targets that a header line cannot hold.
+EXACT_TARGET = "X-Exact-Target-Base64"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -60,6 +64,7 @@ def _header(kind: str, date: str) -> Column:
         line("WARC-Record-ID", urn(F.col("__id"))),
         F.lit(f"WARC-Date: {date}{CRLF}"),
         F.coalesce(line("WARC-Target-URI", uri), F.lit("")),
+        F.when(uri != F.col("__url"), line(EXACT_TARGET, F.base64(F.col("__url").cast("binary")))).otherwise(F.lit("")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("__sha1"))),
     ]
     if kind == "revisit":
@@ -83,16 +88,18 @@ def write_archive(
         seen.select("__id", "__url", "__sha256", "__n", base32_of_hex(F.sha1("__body")).alias("__sha1")).withColumn("__tag", F.monotonically_increasing_id()),
         "warc-facts",
     )
-    groups = facts.groupBy("__sha256").agg(F.max(F.struct("__id", "__tag")).alias("__keep"), F.count("*").alias("__copies"))
-    repeated = stage(bitmap(groups.where("__copies > 1"), "__sha256"), "warc-repeated")
+    groups = facts.groupBy("__sha256").agg(F.max(F.struct("__id", "__tag")).alias("__keep"), F.count("*").alias("__copies")).where("__copies > 1")
+    # written, so that the join's sides are plain exchanges, of which Spark splits one that a large group makes long
+    groups = stage(groups.select(F.col("__sha256").alias("__shared"), "__keep"), "warc-groups")
+    bits = bits_for(groups)
 
-    bodies = flag(seen.select("__sha256", "__body"), repeated, "__again", F.col("__sha256"))
+    bodies = flag(seen.select("__sha256", "__body"), bitmap(groups, "__shared", bits=bits), "__again", F.col("__sha256"), bits=bits)
     single = bodies.where("not __again").select("__sha256", "__body")
     shared = bodies.where("__again").groupBy("__sha256").agg(F.first("__body").alias("__body"))
     payloads = stage(single.unionByName(shared).select(F.col("__sha256").alias("digest"), F.col("__body").alias("payload")), "warc-payloads")
 
-    response = (F.col("__tag") == F.col("__keep.__tag")) | (F.col("__n") < min_bytes)
-    headers = facts.join(groups, "__sha256").select(
+    response = F.col("__keep").isNull() | (F.col("__tag") == F.col("__keep.__tag")) | (F.col("__n") < min_bytes)
+    headers = facts.join(groups, F.col("__sha256") == F.col("__shared"), "left").select(
         F.col("__sha256").alias("digest"),
         F.when(response, _header("response", date)).otherwise(_header("revisit", date)).cast("binary").alias("header"),
     )
@@ -120,8 +127,8 @@ def read_archive(archive: Archive) -> DataFrame:
     split = rebuilt.withColumn("__head", F.concat(F.substring_index(F.col("record").cast("string"), CRLF * 2, 1), F.lit(CRLF)))
 
     def field(name: str, value: str = r"([^\r]*)") -> Column:
-        found = F.regexp_extract("__head", rf"\r\n{name}: {value}\r\n", 1)
-        return F.when(found != "", found)
+        line = rf"\r\n{name}: {value}\r\n"
+        return F.when(F.col("__head").rlike(line), F.regexp_extract("__head", line, 1))
 
     begin = F.octet_length("__head") + len(CRLF)
     parsed = split.select(
@@ -129,7 +136,7 @@ def read_archive(archive: Archive) -> DataFrame:
         field("WARC-Record-ID", r"<urn:x-page:([^>]*)>").alias("record_id"),
         field("WARC-Type").alias("record_type"),
         field("WARC-Refers-To", r"<urn:x-page:([^>]*)>").alias("refers_to"),
-        field("WARC-Target-URI").alias("target_uri"),
+        F.coalesce(F.unbase64(field(EXACT_TARGET)).cast("string"), field("WARC-Target-URI")).alias("target_uri"),
         field("WARC-Payload-Digest", r"sha1:([A-Z2-7]*)").alias("__digest"),
         begin.alias("__begin"),
         field("Content-Length", r"(\d+)").cast("int").alias("__length"),
