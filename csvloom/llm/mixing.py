@@ -17,8 +17,8 @@ document gives its training position; a copy is taken while its midpoint lies be
 A source may hold any part of the rows: its stream is cut by the leading bits of the hash into pieces whose
 totals are summed first, and only then are running sums taken inside each piece.
 
-Defined results: a null text has size 0 and is never taken; rows repeating an id are ordered by size; a null
-id is a value like others; an empty table gives an empty mix; other columns do not matter.
+Defined results: a null text has size 0 and is never taken; rows repeating an id are ordered by size; null
+ids are ordered by a hash of their text; texts may be of any length; an empty table gives an empty mix; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from csvloom.llm.common import n_words, partitions, stage
 
-#: Leading bits of the order hash that name a piece of a source's stream.
-PIECE_BITS = 9
+#: Leading bits of the order hash that name a piece of a source's stream: at least so many, and enough for pieces of so many rows.
+PIECE_BITS, PIECE_ROWS = 9, 1 << 16
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], volume: float, cap: float) -> DataFrame:
@@ -92,23 +92,24 @@ def curriculum_mix(
             F.col(id_col).alias("__id"),
             F.col(source_col).alias("__src"),
             n_words(F.col(text_col)).alias("__size"),
-            F.xxhash64(F.col(id_col)).alias("__h"),
+            F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col))).otherwise(F.xxhash64(F.col(id_col))).alias("__h"),
             *(c.alias(k) for k, c in kept.items()),
         ),
         "mix-rows",
     )
-    piece = F.shiftright("__h", 64 - PIECE_BITS).alias("__piece")
+    bits = max(PIECE_BITS, (rows.count() // PIECE_ROWS).bit_length())
+    piece = F.shiftright("__h", 64 - bits).alias("__piece")
     totals = rows.groupBy("__src", piece).agg(F.sum("__size").alias("__words"))
     sizes = totals.groupBy("__src").agg(F.sum("__words").alias("__total"))
     targets = source_targets(sizes, weights, volume, cap)
     before = Window.partitionBy("__src").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("__before", F.coalesce(F.sum("__words").over(before), F.lit(0)))
-    # at most 2**PIECE_BITS rows for each source
+    # at most 2**bits rows for each source
     placed = offsets.join(targets, offsets["__src"].eqNullSafe(targets["__src"])).select(
         offsets["__src"].alias("__osrc"), F.col("__piece").alias("__opiece"), "__before", "__total", "__target", "__rank"
     )
     inside = Window.partitionBy("__src", "__piece").orderBy("__h", "__id", "__size")
-    stream = rows.withColumn("__piece", F.shiftright("__h", 64 - PIECE_BITS)).withColumn(
+    stream = rows.withColumn("__piece", F.shiftright("__h", 64 - bits)).withColumn(
         "__start", F.sum("__size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")
     )
     joined = stream.join(placed, stream["__src"].eqNullSafe(placed["__osrc"]) & (stream["__piece"] == placed["__opiece"]))
