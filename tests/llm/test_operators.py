@@ -402,12 +402,12 @@ def test_frequent_ngrams_come_last_however_frequent(spark):
     often = {"p q r s": 300, "t u v w": 900, "x y z a": 70_000}
     texts = [t for t, n in often.items() for _ in range(n)] + ["x y z a t u v w p q r s"]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
-    table = ngram_join.counter_table(ngram_join.describe(docs, 4))
+    table = ngram_join.counter_table(ngram_join.describe(docs.select("id", F.lit(None).cast("binary").alias("th"), "text"), 4))
     token = [int(next(ngram_join.sets_of(pa.array([t]), 4))[0]) for t in often]
     level = [int(table[t >> (64 - ngram_join.COUNTER_BITS)]) for t in token]
     assert level == sorted(set(level))
     counters = spark.sparkContext.broadcast(table.tobytes())
-    long = ngram_join.prefixes(docs.where(F.length("text") > 8), counters, 4, 1).collect()
+    long = ngram_join.prefixes(docs.where(F.length("text") > 8), counters, 0, 4, 1, 1 << 20).collect()
     place = {r["token"] % (1 << 64): r["place"] for r in long}
     assert [place[t] for t in token] == sorted(place[t] for t in token) and place[token[2]] == len(place) - 1
 
