@@ -9,11 +9,11 @@ pass through.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from csvloom.llm import byte_bpe, exact_dedup, mixing, ngram_join, quality_zstd
-from csvloom.llm.common import keep_rows, stage
+from csvloom.llm.common import keep_rows, stage, text_key
 from csvloom.llm.queries import KEEP_SCORE, RANKS, WEIGHTS
 
 #: Near copies: word n-grams and percent of similarity.
@@ -28,24 +28,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id."""
-    return keep_rows(docs, exact_dedup.exact_dedup(docs).select("doc_id", "kept"))
+    rated = exact_dedup.exact_dedup(docs)  # texts that nobody shares have no hash and are not looked for
+    return keep_rows(docs, rated.select("doc_id", F.unhex(F.substring("full_hash", 1, 32)).alias("th"), "kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id."""
-    groups = ngram_join.jaccard_components(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
-    return keep_rows(docs, groups.select("doc_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+    return keep_rows(docs, ngram_join.jaccard_components(docs, n=NEAR_WORDS, percent=NEAR_PERCENT, keys=True))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in order of training position."""
     columns = docs.columns
-    hashed = docs.withColumn("__th", F.xxhash64("text"))
-    taken = mixing.curriculum_mix(hashed, WEIGHTS, carry=["__th"]).where("taken > 0").select(
-        F.col("doc_id").alias("__id"), F.col("__th").alias("__mth"), F.col("position").alias("__position"), F.col("pass").alias("__pass"), F.col("taken").alias("__taken")
+    none = F.lit("null")
+    # rows that share a key are told apart by their number, so that each meets its own part of the mix
+    keyed = docs.withColumn("__k", text_key(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), none), F.coalesce("source", none), F.hex(text_key(F.col("text"))))))
+    alike = Window.partitionBy("__k")
+    numbered = keyed.withColumn("__n", F.row_number().over(alike.orderBy("__k")))
+    taken = mixing.curriculum_mix(keyed, WEIGHTS, carry=["__k"]).where("taken > 0").select(
+        F.col("__k").alias("__mk"), F.col("position").alias("__position"), F.col("pass").alias("__pass"), F.col("taken").alias("__taken"), "copies"
     )
-    rows = hashed.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__mth")))
-    return mixing.in_training_order(rows, prefix="__").select(*columns)
+    placed = taken.withColumn("__mn", F.row_number().over(Window.partitionBy("__mk", "__pass").orderBy(F.desc("copies"), "__position"))).drop("copies")
+    same = (F.col("__k") == F.col("__mk")) & (F.col("__n") <= F.col("__mn")) & (F.col("__n") >= F.col("__mn"))
+    return mixing.in_training_order(numbered.join(placed, same), prefix="__").select(*columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
