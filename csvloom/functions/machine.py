@@ -8,7 +8,7 @@ every chunk of a file follows from one pass over the chunks in any order.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -244,6 +244,7 @@ class Scanner:
                 at, state = at + 1, IN_COMMENT
                 continue
             fields, end = self.finish(data, at, FIELD_START, base, final)
+            self.end = end
             yield base + at, fields
             at = end
         if state == IN_COMMENT and not final:
@@ -256,40 +257,47 @@ class Scanner:
         except (UnclosedQuote, InvalidQuote):
             return len(data)
 
-    at = 0
+    #: Where the last record began, or the one that is incomplete, and where the last one ended.
+    at = end = 0
 
 
-def utf8_error(data: bytes, base: int = 0) -> InvalidUtf8 | None:
-    """The first byte that is not UTF-8, if any."""
+def utf8_error(data: bytes, base: int = 0, final: bool = True) -> InvalidUtf8 | None:
+    """The first byte that is not UTF-8, if any; a character that the end cuts counts only if it is ``final``."""
     try:
         data.decode("utf-8")
     except UnicodeDecodeError as e:
-        return InvalidUtf8(base + e.start)
+        return InvalidUtf8(base + e.start) if final or e.reason != "unexpected end of data" else None
     return None
 
 
-def checked(data: bytes, d: Dialect, columns: int | None = None, base: int = 0, header: bool | None = None, state: int = RECORD_START) -> Iterator[Record]:
-    """Records of bytes that hold whole records, as (offset, fields), up to the first error in order of offset.
+def checked(data: bytes, d: Dialect, columns: int | None = None, base: int = 0, header: bool | None = None, state: int = RECORD_START, final: bool = True) -> Generator[Record, None, tuple[int, bool]]:
+    """Records of bytes that begin where a record does, as (offset, fields), up to the first error in order of offset.
 
     The first record goes where ``header`` says so (default: as the dialect has it), unchecked but for its encoding.
+    Returns how many bytes belong to whole records and comments (all of them if ``final``), and whether the
+    header is still to come.
     """
-    bad = utf8_error(data, base) if d.field_type == "string" else None
+    bad = utf8_error(data, base, final) if d.field_type == "string" else None
     first = d.header if header is None else header
+    scanner, done = Scanner(d), len(data)
     try:
-        for offset, fields in Scanner(d).records(data, base, state=state):
+        for offset, fields in scanner.records(data, base, state=state, final=final):
             if bad is not None and offset > bad.offset:
                 raise bad
             if not first and columns is not None and len(fields) != columns:
                 raise NumberOfFields(columns, len(fields), offset)
-            if bad is not None and bad.offset < offset + sum(map(len, fields)):
+            if bad is not None and bad.offset < base + scanner.end:
                 raise bad
             if not first:
                 yield offset, fields
             first = False
     except CsvError as e:
         raise bad if bad is not None and (e.offset is None or bad.offset < e.offset) else e
-    if bad is not None:
+    except Incomplete:
+        done = scanner.at
+    if bad is not None and bad.offset < base + done:
         raise bad
+    return done, first
 
 
 def parse_bytes(data: bytes, d: Dialect, columns: int | None = None) -> list[Record]:

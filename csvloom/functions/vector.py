@@ -7,6 +7,8 @@ exact scanner, which also finds the byte an error points to.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyarrow import csv
@@ -34,10 +36,11 @@ def clean(data: np.ndarray, d: Dialect) -> bool:
     return bool(before.all() and after.all())
 
 
-def read(data: bytes, d: Dialect, columns: int) -> pa.Table | None:
-    """The records as binary columns _c0.., or None if the exact scanner has to look."""
+def read(data: bytes, d: Dialect, columns: int, fields: Sequence[int] | None = None) -> pa.Table | None:
+    """The records as binary columns _c0.. (or only those of ``fields``), or None if the exact scanner has to look."""
+    wanted = [f"_c{i}" for i in (range(columns) if fields is None else fields)]
     if not data:
-        return pa.table({f"_c{i}": pa.array([], pa.binary()) for i in range(columns)})
+        return pa.table({c: pa.array([], pa.binary()) for c in wanted})
     if d.supports("vector", columns) is not None or data.startswith(BOM) or b"\0" in data:
         return None
     if d.terminator != CRLF and b"\r" in data:
@@ -52,7 +55,7 @@ def read(data: bytes, d: Dialect, columns: int) -> pa.Table | None:
             csv.ParseOptions(
                 delimiter=chr(d.delimiter), quote_char=False if d.quote is None else chr(d.quote), double_quote=d.quote is not None, escape_char=False, newlines_in_values=d.quote is not None
             ),
-            csv.ConvertOptions(column_types={n: pa.binary() for n in names}, strings_can_be_null=False, null_values=[]),
+            csv.ConvertOptions(column_types={n: pa.binary() for n in names}, include_columns=wanted, strings_can_be_null=False, null_values=[]),
         )
     except pa.ArrowInvalid:
         return None

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,9 +28,32 @@ def validated(df: DataFrame, good: Column, message: str) -> DataFrame:
     return df.where(F.when(good, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean")))
 
 
-def in_file_order(df: DataFrame, value: str, offset: str = "_record_offset") -> DataFrame:
-    """Rows (offset, value) sorted by place over all partitions: a collected column that never sits in one row."""
-    return df.select(F.col(offset).alias("offset"), F.col(value).alias("value")).orderBy("offset")
+def in_file_order(df: DataFrame, value: str, offset: str = "_record_offset", path: str = "_path") -> DataFrame:
+    """Rows (path, offset, value) sorted by file and place over all partitions: a collected column that never sits in one row."""
+    return df.select(F.col(path).alias("path"), F.col(offset).alias("offset"), F.col(value).alias("value")).orderBy("path", "offset")
+
+
+def running(df: DataFrame, order: list[str], value: Column, folder: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows up to each one in an order, without one task that sees them all.
+
+    Rows go to ranges of the order, written below ``folder`` so that the ranges hold; they are summed within and
+    begin after the totals of those before.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{folder}/running-{uuid.uuid4().hex}"
+    df.withColumn("__value", value).repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    ranged = spark.read.parquet(path)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    totals = ranged.groupBy("__part").agg(F.sum("__value").alias("__sum")).select("__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumn("__at", F.sum("__value").over(inside)).join(F.broadcast(totals), "__part")  # as many rows as ranges
+    return summed.withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before", "__value")
+
+
+def numbered(df: DataFrame, order: list[str], folder: str, name: str = "pos") -> DataFrame:
+    """Adds the place of each row in an order over all rows, counted from 1; ``order`` must leave no ties."""
+    return running(df, order, F.lit(1).cast("bigint"), folder, name)
 
 
 def row_digest(df: DataFrame) -> DataFrame:

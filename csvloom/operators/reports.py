@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from csvloom.dialect import FLEXIBLE, LITERAL, Dialect
 from csvloom.functions.machine import AFTER_QUOTE, BEGUN, BROKEN, FIELD_START, IN_FIELD, IN_QUOTED, RECORD_START, STATES, range_function, utf8_error
+from csvloom.operators.aggregates import numbered
 from csvloom.sources import files
 
 
@@ -42,9 +43,9 @@ def snapshot_delta(new: DataFrame, old: DataFrame, keys: list[str], value: str)
     return new.join(before, keys, "left").select(*keys, F.col(value).alias("new"), "old", (F.col(value) - F.col("old")).alias("delta"), ((F.col(value) - F.col("old")) / F.col("old") * 100).alias("percent"))
 
 
-def history(df: DataFrame, committed: str, run: str) -> DataFrame:
-    """Runs in order of commit date, else of when they ran."""
-    return df.orderBy(F.coalesce(committed, run), run)
+def history(df: DataFrame, committed: str, run: str, tie: str, folder: str) -> DataFrame:
+    """Runs with their place (``pos``) in order of commit date, else of when they ran; equal ones in order of ``tie``."""
+    return numbered(df.withColumn("__when", F.coalesce(committed, run)), ["__when", run, tie], folder).drop("__when")
 
 
 def manifest_gaps(manifest: DataFrame, disk: DataFrame, key: str) -> DataFrame:

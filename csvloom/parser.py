@@ -10,7 +10,7 @@ effect.  ``merge`` gets the states in file order (an empty list for an input wit
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from typing import Any, BinaryIO
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,7 +19,7 @@ from csvloom import dialect as D
 from csvloom.dialect import Dialect
 from csvloom.errors import InvalidConfig, InvalidUtf8, RecordTooLong, UserError
 from csvloom.functions.columns import parse_records
-from csvloom.functions.machine import RECORD_START, Incomplete, Scanner, utf8_error
+from csvloom.functions.machine import RECORD_START
 from csvloom.plans import chunks, native
 from csvloom.sources import files
 
@@ -29,7 +29,7 @@ class ParserBuilder:
 
     def __init__(self) -> None:
         self._d: dict[str, Any] = {}
-        self._run: dict[str, Any] = {"backend": D.AUTO, "chunk_size": files.CHUNK, "max_record": files.MAX_RECORD}
+        self._run: dict[str, Any] = {"backend": D.AUTO, "chunk_size": files.CHUNK, "max_record": files.MAX_RECORD, "tasks": None}
 
     def _set(self, **kw) -> "ParserBuilder":
         self._d |= kw
@@ -79,9 +79,9 @@ class ParserBuilder:
         """Accepted and without effect: reads go through Arrow's file systems."""
         return self
 
-    def concurrency(self, _: int) -> "ParserBuilder":
-        """Accepted and without effect: Spark schedules the chunks."""
-        return self
+    def concurrency(self, n: int) -> "ParserBuilder":
+        """Tasks that the chunks are dealt to, at most; 0 for one for each chunk."""
+        return self._tune(tasks=n or None)
 
     def chunk_size(self, n: int) -> "ParserBuilder":
         return self._tune(chunk_size=n or files.CHUNK)
@@ -99,30 +99,40 @@ class ParserBuilder:
         d = Dialect(**self._d)
         if self._run["chunk_size"] < 1:
             raise InvalidConfig("chunk_size must be at least 1")
+        if self._run["tasks"] is not None and self._run["tasks"] < 1:
+            raise InvalidConfig("concurrency must not be negative")
         if self._run["backend"] not in (D.AUTO, D.NATIVE, D.VECTOR, D.EXACT):
             raise InvalidConfig(f"no backend is named {self._run['backend']}")
         return Parser(d, **self._run)
 
 
 class Parser:
-    def __init__(self, dialect: Dialect | None = None, backend: str = D.AUTO, chunk_size: int = files.CHUNK, max_record: int = files.MAX_RECORD) -> None:
+    def __init__(self, dialect: Dialect | None = None, backend: str = D.AUTO, chunk_size: int = files.CHUNK, max_record: int = files.MAX_RECORD, tasks: int | None = None) -> None:
         self.dialect = dialect or Dialect()
-        self.backend, self.chunk_size, self.max_record = backend, chunk_size, max_record
+        self.backend, self.chunk_size, self.max_record, self.tasks = backend, chunk_size, max_record, tasks
 
     @staticmethod
     def builder() -> ParserBuilder:
         return ParserBuilder()
 
-    def read(self, spark: SparkSession, path: str, columns: int | None = None, offsets: bool = False) -> DataFrame:
-        """The records as a DataFrame: ``_c0``.. or ``fields``, with ``_record_offset`` if asked for."""
+    def read(self, spark: SparkSession, path: str, columns: int | None = None, offsets: bool = False, fields: Sequence[int] | None = None) -> DataFrame:
+        """The records as a DataFrame: ``_c0``.. (or only ``fields``) or ``fields``, with ``_path`` and ``_record_offset`` if asked for."""
         if self.backend == D.NATIVE:
             return native.read_native(spark, path, self.dialect, columns)
-        return chunks.scan(spark, path, self.dialect, columns, self.chunk_size, self.backend, offsets, self.max_record)
+        return chunks.scan(spark, path, self.dialect, columns, self.chunk_size, self.backend, offsets, self.max_record, fields, self.tasks)
 
     def parse(self, spark: SparkSession, path: str, init: Callable, acc: Callable, merge: Callable, columns: int | None = None):
         """Parse files in parallel and fold their records in the same pass."""
         n = chunks.columns_of(self.dialect, columns)
-        return merge(chunks.fold_chunks(spark, path, self.dialect, n, init, acc, self.chunk_size, self.max_record))
+        if (why := files.reason(self.dialect, self.backend, n)) is not None:
+            raise InvalidConfig(why)
+        return merge(chunks.fold_chunks(spark, path, self.dialect, n, init, acc, self.chunk_size, self.max_record, self.tasks, self.backend))
+
+    def aggregate(self, spark: SparkSession, path: str, init: Callable, acc: Callable, combine: Callable, columns: int | None = None):
+        """As :meth:`parse`, but ``combine(a, b)`` joins the states of neighbours on the executors, in file order: one state (None without
+        records) reaches the driver however many chunks there are."""
+        n = chunks.columns_of(self.dialect, columns)
+        return chunks.fold_tree(spark, path, self.dialect, n, init, acc, combine, self.chunk_size, self.max_record, self.tasks, self.backend)
 
     def parse_slice(self, data: bytes | str, init: Callable, acc: Callable, merge: Callable, columns: int | None = None):
         """Parse bytes in memory; the bytes are not changed."""
@@ -135,33 +145,16 @@ class Parser:
     def parse_stream(self, stream: BinaryIO, init: Callable, acc: Callable, merge: Callable, columns: int | None = None, block: int = 1 << 20):
         """Parse a stream from its start to its end in bounded memory; ``merge`` gets one state, also for an empty stream."""
         n = chunks.columns_of(self.dialect, columns)
-        held = init()
-        d, data, base, header, final = self.dialect, b"", 0, self.dialect.header, False
+        held, data, base, header, final = init(), b"", 0, self.dialect.header, False
         while not final:
-            more = stream.read(block)
+            # a record that goes on is scanned again only once its bytes have doubled
+            more = stream.read(max(block, len(data)))
             final = not more
             data += more
-            begun, whole = Scanner(d), 0
-            try:
-                for _ in begun.records(data, final=False):
-                    pass
-                whole = len(data)
-            except Incomplete:
-                whole = begun.at
-            except Exception:
-                whole = len(data)  # raised again below, in order of offset
-            if final:
-                whole = len(data)
-            if len(data) - whole > self.max_record:
-                raise RecordTooLong(self.max_record, base + whole)
-            part, data = data[:whole], data[whole:]
-            if part:
-                seen = header and next(iter(_records(d, part)), None) is not None
-                held = chunks.fold_records(part, d, n, base, header, RECORD_START, held, acc) if not header or seen else held
-                if header and not seen and (bad := utf8_error(part, base)) is not None and d.field_type == D.STRING:
-                    raise bad
-                header = header and not seen
-                base += len(part)
+            held, done, header = chunks.fold_block(data, self.dialect, n, base, header, RECORD_START, held, acc, final)
+            if len(data) - done > self.max_record:
+                raise RecordTooLong(self.max_record, base + done)
+            data, base = data[done:], base + done
         return merge([held])
 
     def records(self, column: Column, columns: int | None = None) -> Column:
@@ -169,11 +162,4 @@ class Parser:
         return parse_records(column, self.dialect, chunks.columns_of(self.dialect, columns))
 
 
-def _records(d: Dialect, data: bytes):
-    try:
-        yield from Scanner(d).records(data)
-    except Exception:
-        yield (0, [])
-
-
 __all__ = ["InvalidConfig", "InvalidUtf8", "Parser", "ParserBuilder", "UserError"]

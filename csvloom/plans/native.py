@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +34,24 @@ def is_record(line: Column, d: Dialect) -> Column:
     return out & ~F.startswith(line, F.lit(chr(d.comment))) if d.comment is not None else out
 
 
-def has_bom(path: str) -> bool:
-    """Does any file begin with a byte order mark?  The text source would drop it."""
-    for name, _ in files.list_files(path):
+def has_bom(spark: SparkSession, path: str) -> bool:
+    """Does any file begin with a byte order mark?  The text source would drop it.  Many files are looked at by tasks."""
+    names = [name for name, _ in files.list_files(path)]
+
+    def begins(name: str) -> bool:
         with files.Window(name) as w:
-            if w.at(0, 3) == BOM:
-                return True
-    return False
+            return w.at(0, 3) == BOM
+
+    if len(names) <= 16:
+        return any(map(begins, names))
+
+    def run(batches):
+        for b in batches:
+            found = [n for n in b.column(0).to_pylist() if begins(n)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["path"])
+
+    listed = spark.createDataFrame([(n,) for n in names], "path string").repartition(min(len(names) // 16, 10_000))
+    return not listed.mapInArrow(run, "path string").isEmpty()
 
 
 def read_native(spark: SparkSession, path: str, d: Dialect, columns: int | None = None) -> DataFrame:
@@ -47,7 +59,7 @@ def read_native(spark: SparkSession, path: str, d: Dialect, columns: int | None
     n = columns_of(d, columns)
     if (why := d.supports(NATIVE, n)) is not None:
         raise InvalidConfig(why)
-    if has_bom(path):
+    if has_bom(spark, path):
         return scan(spark, path, d, columns)
     reader = spark.read if d.terminator == CRLF else spark.read.option("lineSep", chr(d.terminator))
     lines = reader.text(path).where(is_record(F.col("value"), d))

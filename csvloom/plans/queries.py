@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import io
+import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from csvloom.dialect import EXACT, FLEXIBLE, Dialect
+from csvloom.dialect import EXACT, FLEXIBLE, VARIADIC, VECTOR, Dialect
 from csvloom.functions.columns import as_unsigned, explode_records
 from csvloom.functions.machine import IN_QUOTED, RECORD_START, checked, range_function
 from csvloom.errors import CsvError
@@ -40,10 +43,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder below the shared one, where rendered inputs go."""
-    held = spark.conf.get("spark.checkpoint.dir", None)
+    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not held:
-        import tempfile
-
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         held = tempfile.gettempdir()
     return f"{held}/csvloom/{uuid.uuid4().hex}".removeprefix("file://")
 
@@ -70,12 +73,23 @@ def quoted(*cols: Column, sep: str = ",", quote: str = '"', escape: str = '"') -
 def documents_file(spark: SparkSession, sf_dir: str) -> str:
     """``documents`` as quoted CSV lines with embedded line feeds, in several files of one header each."""
     path = scratch(spark)
-    rows = table(spark, sf_dir, "documents").select(quoted(F.col("doc_id"), F.col("text")).alias("value"), F.pmod("doc_id", F.lit(4)).alias("part"))
-    body = rows.groupBy("part").agg(F.array_join(F.sort_array(F.collect_list("value")), "\n").alias("value"))
-    body.select("part", F.concat(F.lit("id,text\n"), "value").alias("value")).write.partitionBy("part").text(path)
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return path
+
+
+def ragged_file(spark: SparkSession, sf_dir: str) -> str:
+    """``events`` as a line per user: its id, then its readings."""
+    path = scratch(spark)
+    ragged(spark, sf_dir).write.text(path)
     return path
 
 
+def ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.col("value").cast("string")).alias("v"))
+    return rows.select(F.concat_ws(",", F.col("user_id").cast("string"), F.array_join("v", ",")).alias("value"))
+
+
 LINEITEM = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 
 
@@ -98,8 +112,10 @@ def scan_arity_count(spark, sf_dir):
 
 @query("SELECT CAST(sum(l_quantity) AS BIGINT) AS total FROM lineitem")
 def scan_project_sum(spark, sf_dir):
-    path = rendered(spark, sf_dir, "lineitem", ("l_orderkey", "l_quantity"))
-    return chunks.scan(spark, path, PIPE.with_(header=True), 2).agg(F.sum(F.col("_c1").cast("double")).cast("bigint").alias("total"))
+    """Of all columns only the one that is summed leaves the scan."""
+    path = rendered(spark, sf_dir, "lineitem", LINEITEM)
+    rows = chunks.scan(spark, path, PIPE.with_(header=True), len(LINEITEM), fields=[LINEITEM.index("l_quantity")])
+    return rows.agg(F.sum(F.col("_c4").cast("double")).cast("bigint").alias("total"))
 
 
 @query("SELECT CAST(sum(p_size) AS BIGINT) AS total FROM part")
@@ -131,10 +147,12 @@ def scan_count_avg(spark, sf_dir):
 
 @query("SELECT row_number() OVER (ORDER BY n_nationkey) AS pos, n_name AS value FROM nation")
 def scan_collect_ordered(spark, sf_dir):
+    """Values of three files, each in several chunks, in order of file and place."""
     path = scratch(spark)
-    reports.write_csv(table(spark, sf_dir, "nation").orderBy("n_nationkey").select("n_nationkey", "n_name").coalesce(1), path, ",")
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name").repartitionByRange(3, "n_nationkey").sortWithinPartitions("n_nationkey")
+    reports.write_csv(nations, path, ",")
     rows = aggregates.in_file_order(chunks.scan(spark, path, Dialect(), 2, chunk_size=64, offsets=True), "_c1")
-    return rows.select(F.row_number().over(Window.orderBy("offset")).cast("bigint").alias("pos"), "value")
+    return aggregates.numbered(rows, ["path", "offset"], scratch(spark)).select("pos", "value")
 
 
 @query("SELECT s_suppkey, s_name, s_nationkey FROM supplier")
@@ -145,10 +163,7 @@ def scan_columnar(spark, sf_dir):
 
 @query("SELECT user_id, max(value) AS largest FROM events GROUP BY 1")
 def scan_ragged_max(spark, sf_dir):
-    path = scratch(spark)
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(F.col("value").cast("string")).alias("v"))
-    rows.select(F.concat_ws(",", F.col("user_id").cast("string"), F.array_join("v", ",")).alias("value")).write.text(path)
-    found = chunks.scan(spark, path, Dialect(header=False, record_mode=FLEXIBLE, quote=None))
+    found = chunks.scan(spark, ragged_file(spark, sf_dir), Dialect(header=False, record_mode=FLEXIBLE, quote=None))
     good = (F.size("fields") >= 2) & (F.col("fields")[0] != "")
     return aggregates.validated(found, good, "a reading is missing").select(F.col("fields")[0].cast("bigint").alias("user_id"), aggregates.ragged_max(F.col("fields")).alias("largest"))
 
@@ -217,6 +232,7 @@ _nation("slice_comments", Dialect(comment="#"), _line(head='# "x\na,b\n#y\n'))
 _nation("slice_blank_lines", Dialect(quote=None), _line(end="\n\n\r\n", head="\n\na,b\n\n"))
 _nation("slice_trim", Dialect(trim=True, header=False), lambda: F.concat(F.lit(" \t"), F.col("n_nationkey").cast("string"), F.lit(' ," '), "n_name", F.lit('\t" \n')))
 _nation("slice_no_header", Dialect(header=False), _line())
+_nation("slice_no_final_newline", Dialect(header=False), _line(end=""))
 _nation("slice_no_quote", Dialect(header=False, quote=None), _line())
 
 
@@ -266,15 +282,13 @@ def state_prefix_parity(spark, sf_dir):
     """State functions of document texts, composed in order, give the running quote parity of toggle quoting."""
     d = Dialect(header=False, record_mode=FLEXIBLE)
 
-    @F.udf("int")
-    def parity(text):
-        return int(range_function(text.encode(), d)[RECORD_START] % 8 == IN_QUOTED)
+    def parity(batches):
+        for b in batches:
+            odd = [int(range_function(t.as_buffer().to_pybytes(), d)[RECORD_START] % 8 == IN_QUOTED) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(odd, pa.int64())], ["doc_id", "p"])
 
-    rows = table(spark, sf_dir, "documents").select("doc_id", parity(F.coalesce("text", F.lit(""))).alias("p"), F.shiftright("doc_id", 8).alias("g"))
-    inside = Window.partitionBy("g").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, -1)  # one row per 256 documents
-    totals = rows.groupBy("g").agg(F.sum("p").alias("t")).withColumn("before", F.coalesce(F.sum("t").over(before), F.lit(0))).select("g", "before")
-    return rows.withColumn("r", F.sum("p").over(inside)).join(totals, "g").select("doc_id", ((F.col("r") + F.col("before")) % 2).cast("int").alias("parity"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(parity, "doc_id long, p long")
+    return aggregates.running(rows, ["doc_id"], F.col("p"), scratch(spark), "r").select("doc_id", (F.col("r") % 2).cast("int").alias("parity"))
 
 
 ERRORS = [
@@ -286,6 +300,11 @@ ERRORS = [
     ("strict_quote", b'a"b,c\n', {"header": False, "quote_handling": "strict"}, "quote not at field boundary at byte 1"),
     ("strict_after", b'"a"b,c\n', {"header": False, "quote_handling": "strict"}, "quote not at field boundary at byte 3"),
     ("utf8", b"hello,\xffworld\n", {"header": False}, "invalid UTF-8 at byte 6"),
+    ("utf8_last", b"a,b\xff\n", {"header": False}, "invalid UTF-8 at byte 3"),
+    ("utf8_quoted", b'"a","b""\xff"\n', {"header": False}, "invalid UTF-8 at byte 8"),
+    ("utf8_cut", b"a,b\nc,\xc3", {"header": False}, "invalid UTF-8 at byte 6"),
+    ("utf8_comment", b"a,b\n#\xff\nc\n", {"header": False, "comment": "#"}, "invalid UTF-8 at byte 5"),
+    ("utf8_before_arity", b"a,\xff\nc\n", {"header": False}, "invalid UTF-8 at byte 2"),
 ]
 
 
@@ -294,16 +313,168 @@ def error_messages(spark, sf_dir):
     """What malformed inputs raise, from inputs held in a column."""
     rows = spark.createDataFrame([(n, data) for n, data, _, _ in ERRORS], "name string, data binary")
     settings = {n: s for n, _, s, _ in ERRORS}
+    return rows.mapInArrow(lambda batches: messages(batches, lambda name: Dialect(**settings[name])), "name string, message string")
+
+
+def messages(batches, dialect):
+    """What each input (name, data) raises under its dialect; null if nothing."""
+    for b in batches:
+        out = []
+        for name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            try:
+                list(checked(data, dialect(name), 2))
+                out.append(None)
+            except CsvError as e:
+                out.append(str(e))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["name", "message"])
+
+
+@query("""SELECT doc_id, kind, CASE kind WHEN 'few' THEN 'expected 2 fields, found 1 in the record at byte ' || n
+WHEN 'open' THEN 'unterminated quoted field at byte ' || n WHEN 'utf8' THEN 'invalid UTF-8 at byte ' || (n + 3)
+WHEN 'quote' THEN 'quote not at field boundary at byte ' || (n + 1) END AS message
+FROM (SELECT doc_id, strlen(replace(coalesce(text, ''), '"', '""')) + 6 AS n FROM documents), (VALUES ('few'), ('open'), ('utf8'), ('quote')) v(kind)""")
+def error_offsets(spark, sf_dir):
+    """A good record of each document's text, then a malformed one: the byte that the error names."""
+    good = F.concat(F.lit("a,"), quoted(F.col("text")), F.lit("\r\n")).cast("binary")
+    bad = F.create_map(F.lit("few"), F.lit(b"b\n"), F.lit("open"), F.lit(b'"b,c\n'), F.lit("utf8"), F.lit(b"b,c\xff\n"), F.lit("quote"), F.lit(b'b"c,d\n'))
+    rows = table(spark, sf_dir, "documents").select("doc_id", good.alias("good"), F.explode(bad).alias("kind", "bad"))
+    named = rows.select(F.concat_ws(":", "doc_id", "kind").alias("name"), F.concat("good", "bad").alias("data"))
+    strict = Dialect(header=False, quote_handling="strict")
+    found = named.mapInArrow(lambda batches: messages(batches, lambda _: strict), "name string, message string")
+    return found.select(F.substring_index("name", ":", 1).cast("bigint").alias("doc_id"), F.substring_index("name", ":", -1).alias("kind"), "message")
+
+
+CONFIGS = [
+    ("same_byte", {"delimiter": '"'}, "quote and delimiter are the same byte"),
+    ("escape_alone", {"quote": None, "escape": "\\"}, "escape requires quote"),
+    ("two_bytes", {"delimiter": "ab"}, "delimiter must be a single byte"),
+    ("not_ascii", {"delimiter": 200}, "delimiter must be ASCII in text mode"),
+    ("no_delimiter", {"delimiter": ""}, "delimiter and terminator are needed"),
+]
 
-    @F.udf("string")
-    def message(name, data):
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', 'invalid parser configuration: {m}')" for n, _, m in CONFIGS) + ") v(name, message)")
+def config_errors(spark, sf_dir):
+    """What settings that contradict each other raise."""
+    out = []
+    for name, settings, _ in CONFIGS:
         try:
-            list(checked(bytes(data), Dialect(**settings[name]), 2))
+            Dialect(**settings)
         except CsvError as e:
-            return str(e)
-        return None
+            out.append((name, str(e)))
+    return spark.createDataFrame(out, "name string, message string")
+
+
+@query("SELECT 'no ' || max(s_suppkey) || ' please' AS message, 0 AS states, 1 AS stream_states FROM supplier")
+def user_errors_and_empty_inputs(spark, sf_dir):
+    """What an accumulator raises passes on; merge gets no state of an empty file and one of an empty stream."""
+    suppliers = table(spark, sf_dir, "supplier")
+    last = suppliers.agg(F.max("s_suppkey")).first()[0]
+
+    def refuse(state, record):
+        if record[0] == str(last):
+            raise ValueError(f"no {record[0]} please")
+
+    path = rendered(spark, sf_dir, "supplier", ("s_suppkey", "s_name"))
+    try:
+        Parser(PIPE.with_(header=True), chunk_size=1 << 12).parse(spark, path, list, refuse, len, columns=2)
+        message = None
+    except CsvError as e:
+        message = str(e)
+    nothing = scratch(spark)
+    suppliers.where("1 = 0").select(F.col("s_name").alias("value")).coalesce(1).write.text(nothing)
+    parser = Parser(Dialect(header=False))
+    empty = parser.parse(spark, nothing, list, refuse, len, columns=2), parser.parse_stream(io.BytesIO(b""), list, refuse, len, columns=2)
+    return spark.createDataFrame([(message, *empty)], "message string, states int, stream_states int")
+
+
+RAGGED = "SELECT user_id, max(value) AS largest, count(*) AS n FROM events GROUP BY 1"
+
+
+def _ragged_result(fields: Column, rows: DataFrame) -> DataFrame:
+    text = F.transform(fields, lambda x: x.cast("string"))
+    return rows.select(text[0].cast("bigint").alias("user_id"), aggregates.ragged_max(text).alias("largest"), (F.size(text) - 1).cast("bigint").alias("n"))
+
+
+def _ragged_query(name: str, kind: str, read: Callable[[SparkSession, str, str], DataFrame]) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _ragged_result(F.col("fields"), read(spark, sf_dir, kind))
+
+    run.__name__ = name
+    query(RAGGED)(run)
+
+
+def _ragged_slices(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return explode_records(ragged(spark, sf_dir), "value", Dialect(header=False, record_mode=VARIADIC, field_type=kind))
+
+
+def _ragged_stream(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    datasource.register(spark)
+    options = {"recordMode": VARIADIC, "fieldType": kind, "header": "false", "splittable": "false"}
+    return spark.read.format("dialect_csv").options(**options).load(ragged_file(spark, sf_dir))
+
+
+def _ragged_scan(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return chunks.scan(spark, ragged_file(spark, sf_dir), Dialect(header=False, record_mode=VARIADIC, field_type=kind), chunk_size=1 << 16)
+
+
+_ragged_query("slice_variadic", "string", _ragged_slices)
+_ragged_query("slice_variadic_bytes", "binary", _ragged_slices)
+_ragged_query("stream_variadic", "string", _ragged_stream)
+_ragged_query("stream_variadic_bytes", "binary", _ragged_stream)
+_ragged_query("scan_variadic_bytes", "binary", _ragged_scan)
+
+
+@query("SELECT doc_id, text FROM documents")
+def slice_bytes(spark, sf_dir):
+    csv = table(spark, sf_dir, "documents").select("doc_id", F.concat(quoted(F.lit("k"), F.col("text")), F.lit("\n")).cast("binary").alias("csv"))
+    return explode_records(csv, "csv", Dialect(header=False, terminator="LF", field_type="binary"), 2).select("doc_id", F.col("_c1").cast("string").alias("text"))
+
+
+@query("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1")
+def stream_bytes(spark, sf_dir):
+    datasource.register(spark)
+    path = rendered(spark, sf_dir, "customer", ("c_custkey", "c_mktsegment"), ",")
+    rows = spark.read.format("dialect_csv").options(columns="2", fields="1", fieldType="binary", splittable="false", maxRecord="1000000").load(path)
+    return rows.groupBy(F.col("_c1").cast("string").alias("c_mktsegment")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id, strlen(text) AS bytes, 2::BIGINT AS records, 1::BIGINT AS states FROM documents")
+def stream_fold(spark, sf_dir):
+    """Each document as a stream of two records, folded in blocks of 64 bytes."""
+    csv = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("h\n"), quoted(F.col("text")), F.lit("\nlast,x")).cast("binary").alias("csv"))
+    parser = Parser(Dialect(terminator="LF", record_mode=VARIADIC))
+
+    def count(state, record):
+        state[0] += 1
+        state[1] = max(state[1], len(record[0].encode()) if len(record) == 1 else 0)
+
+    def run(batches):
+        for b in batches:
+            out = [parser.parse_stream(io.BytesIO(x), lambda: [0, 0], count, lambda s: (s[0][1], s[0][0], len(s)), block=64) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], pa.int64()) for i in range(3))], ["doc_id", "bytes", "records", "states"])
+
+    return csv.mapInArrow(run, "doc_id long, bytes long, records long, states long")
+
+
+@query("SELECT l_returnflag, CAST(sum(l_quantity) AS BIGINT) AS qty, count(*) AS n FROM lineitem GROUP BY 1")
+def fused_udaf_tree(spark, sf_dir):
+    """As fused_udaf_groupby, with states combined on the executors."""
+    path = rendered(spark, sf_dir, "lineitem", ("l_returnflag", "l_quantity"))
+
+    def acc(state, record):
+        qty, n = state.get(record[0], (0.0, 0))
+        state[record[0]] = (qty + float(record[1]), n + 1)
+
+    def combine(a, b):
+        for k, (qty, n) in b.items():
+            x, m = a.get(k, (0.0, 0))
+            a[k] = (x + qty, m + n)
+        return a
 
-    return rows.select("name", message("name", "data").alias("message"))
+    parser = Parser(PIPE.with_(header=True), backend=VECTOR, chunk_size=1 << 16, tasks=200)
+    out = parser.aggregate(spark, path, dict, acc, combine, columns=2) or {}
+    return spark.createDataFrame([(k, int(qty), n) for k, (qty, n) in out.items()], "l_returnflag string, qty long, n long")
 
 
 @query("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, coalesce(CAST(l.quality AS VARCHAR), d.source) AS source
@@ -347,10 +518,10 @@ def bench_snapshot_delta(spark, sf_dir):
     return reports.snapshot_delta(part, part.withColumn("p_partkey", F.col("p_partkey") - 1), ["p_partkey"], "p_size").withColumn("percent", F.round("percent", 6))
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_id <= 100")
+@query("""SELECT event_id, user_id, row_number() OVER (ORDER BY CASE WHEN event_id % 2 = 0 THEN ts - INTERVAL 1 HOUR ELSE ts END, ts, event_id) AS pos FROM events""")
 def bench_history(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("event_id <= 100")
-    return reports.history(rows.withColumn("committed", F.when(F.col("event_id") % 2 == 0, F.col("ts"))), "committed", "ts").select("event_id", "user_id")
+    rows = table(spark, sf_dir, "events").withColumn("committed", F.when(F.col("event_id") % 2 == 0, F.col("ts") - F.expr("INTERVAL 1 HOUR")))
+    return reports.history(rows, "committed", "ts", "event_id", scratch(spark)).select("event_id", "user_id", "pos")
 
 
 @query("""SELECT o_orderpriority, CAST(sum(l_quantity) AS BIGINT) AS qty FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""")

@@ -1,6 +1,7 @@
 """``spark.read.format("dialect_csv")``: the scan as a Python data source.
 
-Options: those of :meth:`Dialect.from_options`, ``chunkSize``, ``columns`` and ``splittable``.  Quote-free
+Options: those of :meth:`Dialect.from_options`, ``chunkSize``, ``columns``, ``fields`` (places of the columns to make, with
+commas), ``maxRecord`` (bytes of a record at most), ``offsets`` and ``splittable``.  Quote-free
 dialects split files into chunks.  Start states of quoted dialects need a pass over the data, which a data
 source cannot run, so there a file is one partition; :func:`csvloom.plans.chunks.scan` splits them too.
 """
@@ -20,7 +21,11 @@ from csvloom.functions.machine import IN_FIELD, RECORD_START
 from csvloom.plans.chunks import columns_of, schema
 from csvloom.sources import files
 
-OWN = {"path", "chunksize", "columns", "splittable", "backend", "offsets"}
+OWN = {"path", "chunksize", "columns", "splittable", "backend", "offsets", "fields", "maxrecord"}
+
+
+def places(own: dict[str, str]) -> list[int] | None:
+    return [int(x) for x in own["fields"].split(",")] if own.get("fields") else None
 
 
 class Range(InputPartition):
@@ -41,7 +46,7 @@ class DialectCsv(DataSource):
 
     def schema(self) -> str:
         n = int(self.own["columns"]) if "columns" in self.own else None
-        return schema(self.dialect, columns_of(self.dialect, n), self.own.get("offsets", "false").lower() == "true")
+        return schema(self.dialect, columns_of(self.dialect, n), self.own.get("offsets", "false").lower() == "true", places(self.own))
 
     def reader(self, schema: StructType) -> DataSourceReader:
         if "path" not in self.own:
@@ -55,7 +60,11 @@ class Reader(DataSourceReader):
         self.names = shape.fieldNames()
         self.offsets = self.names[-1] == "_record_offset"
         flexible = isinstance(shape.fields[0].dataType, ArrayType)
-        self.columns = None if flexible else len(self.names) - self.offsets
+        self.fields = places(own)
+        if self.fields is not None and ("columns" not in own or len(self.fields) != len(self.names) - self.offsets):
+            raise InvalidConfig("fields needs columns, and a schema of as many")
+        self.columns = None if flexible else int(own["columns"]) if self.fields else len(self.names) - self.offsets
+        self.limit = int(own.get("maxrecord", files.MAX_RECORD))
 
     def partitions(self) -> list[Range]:
         size = int(self.own.get("chunksize", files.CHUNK))
@@ -76,8 +85,8 @@ class Reader(DataSourceReader):
             else:
                 state, after = files.border_state(w, d, partition.start), files.border_state(w, d, partition.end)
                 header = d.header and not files.first_record(w, d, partition.start) and files.first_record(w, d, partition.end)
-            base, data, state = files.region(w, d, partition.start, partition.end, state, after)
-        for b in files.batches(data, d, self.columns, base, header, state, self.own.get("backend", AUTO), self.offsets):
+            base, data, state = files.region(w, d, partition.start, partition.end, state, after, self.limit)
+        for b in files.batches(data, d, self.columns, base, header, state, self.own.get("backend", AUTO), self.offsets, fields=self.fields):
             yield pa.RecordBatch.from_arrays(b.columns, names=self.names)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from fnmatch import fnmatch
 
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyarrow import fs
 from csvloom.dialect import AUTO, EXACT, STRING, VECTOR, Dialect
 from csvloom.errors import RecordTooLong
 from csvloom.functions import vector
-from csvloom.functions.machine import BROKEN, IN_COMMENT, IN_FIELD, RECORD_START, Incomplete, Scanner, checked
+from csvloom.functions.machine import BROKEN, IN_COMMENT, IN_FIELD, RECORD_START, Incomplete, Scanner, checked, utf8_error
 
 #: Bytes of a chunk.
 CHUNK = 32 << 20
@@ -122,16 +122,18 @@ def region(w: Window, d: Dialect, start: int, end: int, state: int, after: int,
     return start + begin, data[begin:], state
 
 
-def batches(data: bytes, d: Dialect, columns: int | None, base: int, header: bool, state: int, backend: str = AUTO, offsets: bool = False, size: int = 10_000) -> Iterator[pa.RecordBatch]:
-    """The records of a region as Arrow batches."""
+def batches(data: bytes, d: Dialect, columns: int | None, base: int, header: bool, state: int, backend: str = AUTO, offsets: bool = False, size: int = 10_000, fields: Sequence[int] | None = None) -> Iterator[pa.RecordBatch]:
+    """The records of a region as Arrow batches, of all columns or those of ``fields``."""
     if not data:
         return
     text = d.field_type == STRING
     kind = pa.string() if text else pa.binary()
     if backend in (AUTO, VECTOR) and not offsets and columns is not None and state == RECORD_START:
-        table = vector.read(data, d, columns)
+        table = vector.read(data, d, columns, fields)
         if table is not None and text:
             try:
+                if fields is not None and utf8_error(data) is not None:  # also in what is not read
+                    raise pa.ArrowInvalid("not UTF-8")
                 table = table.cast(pa.schema([(n, pa.string()) for n in table.column_names]))
             except pa.ArrowInvalid:
                 table = None
@@ -144,10 +146,11 @@ def batches(data: bytes, d: Dialect, columns: int | None, base: int, header: boo
         where = [pa.array([o for o, _ in held], pa.int64())] if offsets else []
         named = ["_record_offset"] if offsets else []
         if columns is None:
-            fields = [[f.decode() for f in r] for _, r in held] if text else [r for _, r in held]
-            return pa.RecordBatch.from_arrays([pa.array(fields, pa.list_(kind)), *where], ["fields", *named])
-        cols = [pa.array([r[i] for _, r in held], pa.binary()).cast(kind) for i in range(columns)]
-        return pa.RecordBatch.from_arrays([*cols, *where], [*(f"_c{i}" for i in range(columns)), *named])
+            rows = [[f.decode() for f in r] for _, r in held] if text else [r for _, r in held]
+            return pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(kind)), *where], ["fields", *named])
+        wanted = range(columns) if fields is None else fields
+        cols = [pa.array([r[i] for _, r in held], pa.binary()).cast(kind) for i in wanted]
+        return pa.RecordBatch.from_arrays([*cols, *where], [*(f"_c{i}" for i in wanted), *named])
 
     for record in checked(data, d, columns, base, header, state):
         held.append(record)
