@@ -12,6 +12,7 @@ from collections.abc import Generator, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
 from csvloom.dialect import LITERAL, STRICT, TOGGLE, TRIMMED, Dialect
 from csvloom.errors import CsvError, InvalidQuote, InvalidUtf8, NumberOfFields, UnclosedQuote
@@ -263,6 +264,12 @@ class Scanner:
 
 def utf8_error(data: bytes, base: int = 0, final: bool = True) -> InvalidUtf8 | None:
     """The first byte that is not UTF-8, if any; a character that the end cuts counts only if it is ``final``."""
+    try:
+        ends = pa.py_buffer(np.array([0, len(data)], dtype=np.int64))
+        pa.Array.from_buffers(pa.large_string(), 1, [None, ends, pa.py_buffer(data)]).validate(full=True)
+        return None
+    except pa.ArrowInvalid:
+        pass
     try:
         data.decode("utf-8")
     except UnicodeDecodeError as e:

@@ -18,11 +18,13 @@ from pyspark.sql import functions as F
 from csvloom.dialect import ARITY, AUTO, STRING, VECTOR, Dialect
 from csvloom.errors import CsvError, InvalidConfig, UserError
 from csvloom.functions import vector
-from csvloom.functions.machine import BEGUN, RECORD_START, checked, range_function, utf8_error
+from csvloom.functions.machine import BEGUN, IDENTITY, RECORD_START, checked, range_function, utf8_error
 from csvloom.sources import files
 
 #: Tasks of a scan at most; they take several chunks each beyond it.
 MOST_TASKS = 100_000
+#: Stands for the state function of a chunk that is a whole file: any records there begin in it.
+WHOLE = bytes(BEGUN + x % BEGUN for x in IDENTITY)
 PLAN = "path string, chunk long, start long, end long, state int, after int, header boolean"
 
 
@@ -67,6 +69,9 @@ def planned(spark: SparkSession, path: str, d: Dialect, chunk_size: int = files.
         for b in batches:
             out = []
             for r in b.to_pylist():
+                if r["start"] == 0 and r["end"] == r["size"]:
+                    out.append(WHOLE)  # nothing comes after it
+                    continue
                 with files.Window(r["path"]) as w:
                     out.append(range_function(w.at(r["start"], r["end"]), d))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("path", "chunk", "start", "end")), pa.array(out, pa.binary())], ["path", "chunk", "start", "end", "f"])

@@ -64,10 +64,11 @@ def read_native(spark: SparkSession, path: str, d: Dialect, columns: int | None
     reader = spark.read if d.terminator == CRLF else spark.read.option("lineSep", chr(d.terminator))
     lines = reader.text(path).where(is_record(F.col("value"), d))
     valid = F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.raise_error(F.lit("invalid UTF-8 in a line")).cast("string"))
-    fields = lines.select(split_line(valid, d).alias("fields"))
+    # generated, so that every line is split once and none is passed over where its fields are not needed
+    fields = lines.select(F.explode(F.array(split_line(valid, d))).alias("fields"))
     if n is None:
         return fields
     found = F.size("fields")
     wrong = F.concat(F.lit(f"expected {n} fields, found "), found.cast("string"), F.lit(" in a line"))
-    right = F.when(found == n, F.col("fields")).otherwise(F.raise_error(wrong).cast("array<string>"))
-    return fields.select(right.alias("fields")).select(*(F.get("fields", F.lit(i)).alias(f"_c{i}") for i in range(n)))
+    right = fields.where(F.when(found == n, F.lit(True)).otherwise(F.raise_error(wrong).cast("boolean")))
+    return right.select(*(F.get("fields", F.lit(i)).alias(f"_c{i}") for i in range(n)))

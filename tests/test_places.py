@@ -176,3 +176,9 @@ def test_stream_equals_slice_in_text_mode():
         a = run(lambda acc: Parser(d).parse_slice(data, list, acc, len))
         b = run(lambda acc: Parser(d).parse_stream(io.BytesIO(data), list, acc, len, block=rnd.randint(1, 6)))
         assert a == b, (data, d)
+
+
+def test_native_plan_checks_lines_that_nobody_reads(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"1|2\n3\n4|5\n")
+    with pytest.raises(Exception, match="expected 2 fields, found 1 in a line"):
+        native.read_native(spark, str(tmp_path), Dialect(delimiter="|", quote=None, header=False), 2).count()
