@@ -30,6 +30,7 @@ columns do not matter.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,8 +45,8 @@ from csvloom.llm.textops import LOWER, SECTION, Words, chunks, gram_hashes, mix,
 
 #: Counters of the frequency table: fixed, 32 bits each while they are summed, 16 bits of a logarithm once they order n-grams.
 COUNTER_BITS = 24
-#: The table travels in so many parts, each summed in so many groups first.
-PARTS, GROUPS = 16, 64
+#: The table travels in so many parts; those of more tasks than this are summed in groups first.
+PARTS, TABLES = 16, 256
 CELLS = 64
 #: Lists of a prefix n-gram up to this length are paired, longer ones chained.
 LIST = 64
@@ -151,8 +152,11 @@ def counter_table(summary: DataFrame) -> np.ndarray:
 
         return run
 
-    sent = summary.where("part is not null").select("part", "counts")
-    some = sent.repartition(PARTS * GROUPS, "part", F.pmod(F.xxhash64("counts"), F.lit(GROUPS))).mapInArrow(add(False), "part int, counts binary")
+    some = summary.where("part is not null").select("part", "counts")
+    tables = some.count() // PARTS
+    if tables > TABLES:
+        groups = math.isqrt(tables)
+        some = some.repartition(PARTS * groups, "part", F.pmod(F.xxhash64("counts"), F.lit(groups))).mapInArrow(add(False), "part int, counts binary")
     parts = some.repartition(PARTS, "part").mapInArrow(add(True), "part int, counts binary")
     out = np.zeros((PARTS, (1 << COUNTER_BITS) // PARTS), dtype=np.uint16)
     for r in parts.collect():  # at most PARTS rows

@@ -9,10 +9,11 @@ the minimiser's bucket, where the windows are sorted and equal ones, word for wo
 2. The second scan packs and sends the super-k-mers whose minimiser may be shared.  A string that the task
    has already met in a document with a smaller id is settled on the spot and sends its range of words
    instead, so copies do not pile up in a bucket (rows are taken in order of id, batch by batch).  Those of a
-   minimiser with very many super-k-mers are cut into single windows that travel under their own hash: there
-   the rows stand in order of id and the smallest comes first, so such a bucket needs no memory.
+   minimiser with very many super-k-mers are dealt to salted groups first, as many as the root of their number: there all
+   but the smallest id of each string are settled, and only these go on to the bucket.
 3. Each bucket yields the word ranges to remove.  A bucket whose windows do not fit in ``BUCKET_BYTES`` is passed
-   on as single windows to a second round.
+   on as single windows under their own hash to a last round, where the rows of a window stand in order of id
+   and the smallest comes first, which needs no memory.
 4. Documents with a range are joined with their ranges; all others, told by a bitmap, pass in the scan.
 
 Defined results: a null or empty text has no words; a document shorter than a window loses nothing; words of
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from csvloom.llm.common import bitmap, bits_for, flag, partitions, release, stage
-from csvloom.llm.textops import SECTION, Words, chunks, gram_hashes, mix, run_hashes, sections, sliding_min
+from csvloom.llm.textops import SECTION, Words, chunks, gram_hashes, mix, sections, sliding_min
 
 WINDOW = 50
 #: Words of the runs whose smallest hash is the minimiser.
@@ -44,11 +45,11 @@ SHARED_BITS = 26
 HOT_ROWS = 1000
 HOT_LIST = 1 << 20
 #: Bytes that the windows of a bucket may take, whatever the corpus.
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 96 << 20
 #: Bytes of strings that a task remembers to settle repeats.
 REMEMBER = 24 << 20
-#: What a row carries: a super-k-mer, a single window, or a range that is settled.
-MANY, SINGLE, SETTLED = 0, 1, 2
+#: What a row carries: a super-k-mer, a single window, a range that is settled, or a super-k-mer of a hot minimiser.
+MANY, SINGLE, SETTLED, SALTED = 0, 1, 2, 3
 #: Windows of a super-k-mer at most; longer runs of one minimiser are cut.
 LONGEST = 512
 
@@ -128,21 +129,23 @@ def _bitmap(shared: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-FOUND = "id long, th long, a int, b int, key long, packed binary"
+FOUND = "id long, th long, a int, b int, key long, kind int, packed binary, places binary"
 
 
 def _covered(batches: Iterator[pa.RecordBatch], window: int, room: int) -> Iterator[pa.RecordBatch]:
-    """From rows (key, kind, id, th, start, n, packed) sorted by key, kind and id: ranges of words to remove, or,
-    of a bucket that takes more than ``room`` bytes, its single windows (their first word, key and text)."""
-    out: tuple[list, ...] = ([], [], [], [], [], [])
+    """From rows (key, kind, id, th, start, n, packed, least, places) sorted by key, kind and id: ranges of words to remove, or what
+    another round has to look at (first word, number of windows, key, kind and text): of salted groups the smallest id of
+    each string, of a bucket that takes more than ``room`` bytes its single windows."""
+    out: tuple[list, ...] = ([], [], [], [], [], [], [], [])
     group: tuple | None = None
     rows: list[tuple] = []
     owner: dict[bytes, int] = {}
+    every: list[tuple[bytes, int]] = []  # the different windows of each string, with its id
     least: dict[bytes, int] = {}
     left = room
 
     def emit(*row) -> None:
-        for held, x in zip(out, row):
+        for held, x in zip(out, (*row, *[None] * (len(out) - len(row)))):
             held.append(x)
 
     def windows(packed: bytes) -> list[bytes]:
@@ -151,62 +154,79 @@ def _covered(batches: Iterator[pa.RecordBatch], window: int, room: int) -> Itera
         return [packed[i:j] for i, j in zip(begin, np.append(gaps, len(packed))[window - 1 :].tolist())]
 
     def pass_on(doc: int, th: int, start: int, packed: bytes) -> None:
+        """The different windows of a string, each with the places where it stands there."""
+        places: dict[bytes, list[int]] = {}
         for w, text in enumerate(windows(packed)):
-            emit(doc, th, start + w, None, xxhash.xxh3_64_intdigest(text) - (1 << 63), text)
+            places.setdefault(text, []).append(start + w)
+        for text, at in places.items():
+            emit(doc, th, at[0], 1, xxhash.xxh3_64_intdigest(text) - (1 << 63), SINGLE, text, np.array(at, dtype=np.int32).tobytes() if len(at) > 1 else None)
+
+    def remove(doc: int, th: int, places: np.ndarray) -> None:
+        """Ranges of the windows that begin at some places, in order."""
+        cut = np.flatnonzero(np.diff(places) > window) + 1
+        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(places)]):
+            emit(doc, th, int(places[a]), int(places[b - 1]) + window)
 
     def finish() -> None:
         """Sort the windows of a bucket's distinct strings and find the smallest id of each."""
         if not rows or rows[0][0] == rows[-1][0]:
             return
-        found: dict[bytes, np.ndarray] = {}
-        if len(owner) == 1:
-            for packed, doc in owner.items():
-                found[packed] = np.full(packed.count(b" ") + 2 - window, doc, dtype=np.int64)
-        else:
-            every = []
-            for s, (packed, doc) in enumerate(owner.items()):
-                cut = windows(packed)
-                found[packed] = np.full(len(cut), doc, dtype=np.int64)
-                every += [(text, doc, s, w) for w, text in enumerate(cut)]
+        smallest: dict[bytes, int] = {}
+        if len(owner) > 1:
             every.sort()
-            tables = list(found.values())
-            same, smallest = None, 0
-            for text, doc, s, w in every:
+            same = None
+            for text, doc in every:
                 if text != same:
-                    same, smallest = text, doc
-                tables[s][w] = smallest
+                    same = text
+                    smallest[text] = doc
+        gone: dict[bytes, np.ndarray] = {}
         for doc, th, start, packed in rows:
-            gone = np.flatnonzero(np.diff(np.concatenate([[0], found[packed] < doc, [0]])))
-            for a, b in zip(gone[::2].tolist(), gone[1::2].tolist()):
-                emit(doc, th, start + a, start + b - 1 + window, None, None)
+            if len(owner) == 1:
+                if owner[packed] < doc:
+                    emit(doc, th, start, start + packed.count(b" ") + 1)
+                continue
+            if (least_of := gone.get(packed)) is None:
+                least_of = gone[packed] = np.fromiter((smallest[t] for t in windows(packed)), dtype=np.int64)
+            some = np.flatnonzero(least_of < doc)
+            if len(some):
+                remove(doc, th, start + some)
 
     def flush() -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-        made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["id", "th", "a", "b", "key", "packed"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        made = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], ["id", "th", "a", "b", "key", "kind", "packed", "places"])
         for held in out:
             held.clear()
         return made
 
     for batch in batches:
-        key, kind, doc, th, start, n, packed = (batch.column(i).to_pylist() for i in range(7))
+        key, kind, doc, th, start, n, packed, bucket, places = (batch.column(i).to_pylist() for i in range(9))
         for i in range(len(key)):
             if (key[i], kind[i]) != group:
                 finish()
                 group = (key[i], kind[i])
                 rows.clear()
                 owner.clear()
+                every.clear()
                 least.clear()
                 left = room
             if kind[i] == SETTLED:
-                emit(doc[i], th[i], start[i], start[i] + n[i] - 1 + window, None, None)
-            elif kind[i] == SINGLE:
+                emit(doc[i], th[i], start[i], start[i] + n[i] - 1 + window)
+            elif kind[i] in (SINGLE, SALTED):
                 if least.setdefault(packed[i], doc[i]) < doc[i]:
-                    emit(doc[i], th[i], start[i], start[i] + window, None, None)
+                    if places[i] is None:
+                        emit(doc[i], th[i], start[i], start[i] + n[i] - 1 + window)
+                    else:
+                        remove(doc[i], th[i], np.frombuffer(places[i], dtype=np.int32))
+                elif kind[i] == SALTED:
+                    emit(doc[i], th[i], start[i], n[i], bucket[i], MANY, packed[i])
             else:
                 left -= 200
                 if left >= 0 and packed[i] not in owner:
-                    owner[packed[i]] = doc[i]  # rows are in order of id
-                    left -= n[i] * (len(packed[i]) * window // (n[i] + window - 1) + 200)
+                    cut = dict.fromkeys(windows(packed[i]))
+                    left -= len(packed[i]) + sum(map(len, cut)) + 300 * len(cut)
+                    if left >= 0:
+                        owner[packed[i]] = doc[i]  # rows are in order of id
+                        every += [(text, doc[i]) for text in cut]
                 if left >= 0:
                     rows.append((doc[i], th[i], start[i], packed[i]))
                     continue
@@ -214,6 +234,7 @@ def _covered(batches: Iterator[pa.RecordBatch], window: int, room: int) -> Itera
                     pass_on(*row)
                 rows.clear()
                 owner.clear()
+                every.clear()
                 pass_on(doc[i], th[i], start[i], packed[i])
                 if len(out[0]) >= 10_000:
                     yield flush()
@@ -230,13 +251,14 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, k: int = K, hot_rows:
     spark = docs.sparkSession
     shared = stage(_shared(docs, window, k), "substring-shared")
     total = shared.agg(F.sum("n")).first()[0] or 0
-    hot = shared.where(F.col("n") > max(hot_rows, total // HOT_LIST)).select("least").toArrow().column("least").to_numpy()  # at most HOT_LIST
-    sent = spark.sparkContext.broadcast((_bitmap(shared, SHARED_BITS).tobytes(), np.sort(hot).tobytes()))
+    hot = shared.where(F.col("n") > max(hot_rows, total // HOT_LIST)).orderBy("least").toArrow()  # at most HOT_LIST
+    salts = np.ceil(np.sqrt(hot.column("n").to_numpy())).astype(np.int64)
+    sent = spark.sparkContext.broadcast((_bitmap(shared, SHARED_BITS).tobytes(), hot.column("least").to_numpy().tobytes(), salts.tobytes()))
     release(shared)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(sent.value[0], dtype=np.uint64)
-        known_hot = np.frombuffer(sent.value[1], dtype=np.int64)
+        known_hot, salts = (np.frombuffer(x, dtype=np.int64) for x in sent.value[1:])
         met: dict[bytes, int] = {}
         room = REMEMBER
         for b in map(by_id, batches):
@@ -249,18 +271,17 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, k: int = K, hot_rows:
                 if not len(start):
                     continue
                 flat, off = words.spaced()
-                is_hot = np.isin(key, known_hot)
-                kind = np.full(len(start), MANY)
-                if is_hot.any():
-                    n = (stop - start)[is_hot]
-                    at = np.repeat(start[is_hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    own = run_hashes(flat, off[at], off[at + window] - 1).astype(np.int64)
-                    start, stop, key = (np.concatenate([x[~is_hot], y]) for x, y in ((start, at), (stop, at + 1), (key, own)))
-                    kind = np.repeat([MANY, SINGLE], [(~is_hot).sum(), len(at)])
                 place = np.searchsorted(words.first, start, side="right") - 1
                 data = flat.tobytes()
                 packed: list[bytes | None] = [data[i:j] for i, j in zip(off[start].tolist(), (off[stop + window - 1] - 1).tolist())]
                 doc = ids[rows[place]]
+                kind, bucket = np.full(len(start), MANY), key.copy()
+                if len(known_hot):
+                    at = np.minimum(np.searchsorted(known_hot, key), len(known_hot) - 1)
+                    is_hot = known_hot[at] == key
+                    kind[is_hot] = SALTED
+                    salt = mix(doc[is_hot].astype(np.uint64)) % salts[at[is_hot]].astype(np.uint64)
+                    key[is_hot] = mix(mix(key[is_hot].astype(np.uint64)) + salt).astype(np.int64)
                 settled = []
                 for r, (text, i) in enumerate(zip(packed, doc.tolist())):
                     held = met.get(text)
@@ -284,21 +305,27 @@ def removed_ranges(docs: DataFrame, window: int = WINDOW, k: int = K, hot_rows:
                         pa.array((start - words.first[place] + before).astype(np.int32)),
                         pa.array((stop - start).astype(np.int32)),
                         pa.array(packed, pa.binary()),
+                        pa.array(bucket),
+                        pa.nulls(len(key), pa.binary()),
                     ],
-                    ["key", "kind", "id", "th", "start", "n", "packed"],
+                    ["key", "kind", "id", "th", "start", "n", "packed", "least", "places"],
                 )
 
-    sent_rows = docs.mapInArrow(pack, "key long, kind int, id long, th long, start int, n int, packed binary")
+    rows = docs.mapInArrow(pack, "key long, kind int, id long, th long, start int, n int, packed binary, least long, places binary")
 
     def resolved(rows: DataFrame) -> DataFrame:
         dealt = rows.repartition(partitions(spark), "key", "kind").sortWithinPartitions("key", "kind", "id")
         return dealt.mapInArrow(lambda batches: _covered(batches, window, room), FOUND)
 
-    found = stage(resolved(sent_rows), "substring-found")
-    singles = found.where("packed is not null").select(
-        "key", F.lit(SINGLE).alias("kind"), "id", "th", F.col("a").alias("start"), F.lit(1).alias("n"), "packed"
-    )
-    return found.where("packed is null").unionByName(resolved(singles)).select("id", "th", "a", "b")
+    out = None
+    while True:  # three rounds at most: salted groups, buckets, single windows
+        found = stage(resolved(rows), "substring-found")
+        ranges = found.where("packed is null").select("id", "th", "a", "b")
+        out = ranges if out is None else out.unionByName(ranges)
+        more = found.where("packed is not null")
+        if more.isEmpty():
+            return out
+        rows = more.select("key", "kind", "id", "th", F.col("a").alias("start"), F.col("b").alias("n"), "packed", F.col("key").alias("least"), "places")
 
 
 def remove_repeats(
