@@ -55,7 +55,7 @@ BLOCK, BLOCK_GRAMS = 512, 4 << 20
 #: An n-gram whose counter is this far above the average is combined before it is sent.
 FREQUENT = 4096
 #: Sets, and n-grams by size, that a task remembers to combine what repeats.
-REMEMBER = 1 << 18
+REMEMBER = 1 << 16
 
 
 def need(a, b, percent: int):
