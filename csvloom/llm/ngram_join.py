@@ -381,6 +381,7 @@ def verify(docs: DataFrame, members: DataFrame, n: int, percent: int, block: int
     wanted = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_GRAMS))
     sizes = members.groupBy("cluster").agg(F.least(wanted, F.count("*")).cast("int").alias("blocks"))
     placed = members.join(sizes, "cluster").select("id", "node", "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"))
+    placed = stage(placed, "join-placed")  # its size on disk decides whether the texts have to travel twice
     bits = bits_for(members)
     some = flag(docs, bitmap(members, "id", bits=bits), "__maybe", F.col("id"), bits=bits).where("__maybe").select("id", "text")
     texts = some.join(placed, "id")
@@ -443,7 +444,11 @@ def jaccard_components(
     average = (rows.agg(F.sum("size")).first()[0] or 0) / (1 << COUNTER_BITS)
 
     nodes = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("cells").alias("cells"))
-    pairs = meet(prefixes(narrow, counters, average, n, percent, frequent), percent, list_size)
+    pairs = stage(meet(prefixes(narrow, counters, average, n, percent, frequent), percent, list_size), "join-pairs")
+    # of the nodes only those in a pair matter from here on
+    paired = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    bits = bits_for(pairs)
+    nodes = stage(flag(nodes, bitmap(paired, "node", bits=bits), "__maybe", F.col("node"), bits=bits).where("__maybe").drop("__maybe"), "join-nodes")
     candidates = suffix_filter(pairs, nodes, percent)
     clusters = connected_components(candidates).select("node", F.col("component").alias("cluster"))
     members = stage(nodes.select("node", "id", "size").join(clusters, "node"), "join-members")
