@@ -54,17 +54,18 @@ class PrefixTable:
         bpe, last = self.bpe, self.last
         begin = len(self.data)
         data = self.data = self.data + more
-        token_of, reach, pairs, compatible = bpe.whole_ranks.get, bpe.reach.get, bpe.pairs, bpe.compatible
+        token_of, sizes_of, pairs, compatible = bpe.whole_ranks.get, bpe.sizes.get, bpe.pairs.get, bpe.compatible
         for end in range(begin + 1, len(data) + 1):
-            # no token with these last three bytes is longer than this
-            far = reach(data[end - 3 : end], 2) if end > 2 else end
-            for start in range(end - far if far < end else 0, end):
-                token = token_of(data[start:end])
-                if token is not None:
-                    if start == 0:
+            # only tokens of these sizes end with the last three bytes
+            for size in sizes_of(data[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
+                if size >= end:
+                    if size > end:
+                        continue
+                    if (token := token_of(data[:end])) is not None:
                         break
-                    before = last[start - 1]
-                    fits = pairs.get(before << 32 | token)
+                elif (token := token_of(data[end - size : end])) is not None:
+                    before = last[end - size - 1]
+                    fits = pairs(before << 32 | token)
                     if compatible(before, token) if fits is None else fits:
                         break
             else:
@@ -105,10 +106,12 @@ class ByteBpe:
         self.classes: np.ndarray | None = None
         # only tokens that their own merges end in can stand in an encoding
         self.whole_ranks = {b: i for b, i in ranks.items() if self.merged(b) == [i]}
-        self.reach: dict[bytes, int] = {}
+        # for the last three bytes of longer ones, the sizes that they have, from the largest
+        found: dict[bytes, set[int]] = {}
         for b in self.whole_ranks:
             if len(b) > 2:
-                self.reach[b[-3:]] = max(len(b), self.reach.get(b[-3:], 0))
+                found.setdefault(b[-3:], {2, 1}).add(len(b))
+        self.sizes = {b: tuple(sorted(n, reverse=True)) for b, n in found.items()}
         self.table_of = PrefixTable(self)
         size = max(self.tokens) + 1
         self.lengths = np.zeros(size, dtype=np.int64)
