@@ -89,13 +89,19 @@ def digest(tokens: np.ndarray) -> bytes:
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """Compressed, all bytes of one significance together: the high ones are mostly zero."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.view(np.uint8).reshape(len(counts), -1).T).tobytes())
+    """Compressed: a bit for each counter that is not zero, then those, all bytes of one significance together."""
+    some = counts[counts > 0] - counts.dtype.type(1)
+    planes = np.ascontiguousarray(some.view(np.uint8).reshape(-1, counts.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(np.packbits(counts > 0).tobytes() + planes.tobytes())
 
 
-def unpacked(data: bytes, kind: type) -> np.ndarray:
+def unpacked(data: bytes, kind: type, n: int = (1 << COUNTER_BITS) // PARTS) -> np.ndarray:
+    """The ``n`` counters (a multiple of 8) that :func:`packed` was given."""
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    out = np.zeros(n, dtype=kind)
+    planes = raw[n // 8 :].reshape(np.dtype(kind).itemsize, -1)
+    out[np.unpackbits(raw[: n // 8]).astype(bool)] = np.ascontiguousarray(planes.T).view(kind).ravel() + out.dtype.type(1)
+    return out
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
