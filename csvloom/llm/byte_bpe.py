@@ -5,7 +5,8 @@ and the encoding of every prefix of the piece extends the encoding of a shorter
 is enough to store, for each prefix, its last token.  A token t that ends at byte i is that token when the
 merges of (last token of the prefix before t, t) leave the border between the two alone.  Three uses follow:
 
-* encoding: fill the table from left to right and walk it back from the end;
+* encoding: fill the table from left to right and walk it back from the end (:class:`PrefixTable` for one
+  piece; :meth:`ByteBpe.fill` for many at once, one prefix length after the other);
 * appending: bytes added to a piece only add entries to its table;
 * editing: entries before the edit stay.
 
@@ -34,8 +35,10 @@ from csvloom.llm.textops import Blocks, chunks, equal_runs, run_hashes
 
 #: Pieces held in each of the two generations of a worker's dictionary.
 CACHE_PIECES = 100_000
-#: Longer pieces are not held.
+#: Longer pieces are not held, and have a table of their own.
 CACHE_BYTES = 64
+#: Places for pairs of neighbours whose border is known: 8 MB a worker.
+PAIR_BITS = 20
 #: Fixed value: the pattern whose matches numpy finds; any other is left to the regex engine.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text encoded together.
@@ -90,6 +93,51 @@ class PrefixTable:
         return out[::-1]
 
 
+class Trie:
+    """Finds all tokens that begin at each byte of some data."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        nodes: dict[int, int] = {}
+        found: dict[int, int] = {}
+        for data, token in ranks.items():
+            at = 0
+            for byte in data:
+                at = nodes.setdefault(at << 8 | byte, len(nodes) + 1)
+            found[at] = token
+        self.edges = np.sort(np.fromiter(nodes, dtype=np.int64, count=len(nodes)))
+        self.to = np.fromiter(map(nodes.get, self.edges.tolist()), dtype=np.int64, count=len(nodes))
+        self.token = np.full(len(nodes) + 1, -1, dtype=np.int64)
+        self.token[[*found]] = [*found.values()]
+        # the nodes of one and of two bytes need no search; no edge leads to the root
+        self.one = np.array([nodes.get(a, 0) for a in range(256)], dtype=np.int64)
+        self.two = np.zeros(1 << 16, dtype=np.int64)
+        for a, node in enumerate(self.one.tolist()):
+            if node:
+                self.two[a << 8 : (a + 1) << 8] = [nodes.get(node << 8 | b, 0) for b in range(256)]
+
+    def matches(self, data: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens data[start:end], the short ones first; none goes past the ``stop`` of its start."""
+        at, node, n = np.arange(len(data)), self.one[data], 1
+        out = []
+        while len(at):
+            token = self.token[node]
+            some = np.flatnonzero(token >= 0)
+            out.append((at[some], at[some] + n, token[some]))
+            more = np.flatnonzero((at + n < stop[at]) & (node > 0))
+            at, node = at[more], node[more]
+            if n == 1:
+                node = self.two[data[at].astype(np.int64) << 8 | data[at + 1]]
+            else:
+                edge = node << 8 | data[at + n]
+                where = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+                node = np.where(self.edges[where] == edge, self.to[where], 0)
+            at, node = at[node > 0], node[node > 0]
+            n += 1
+        if not out:
+            out.append((np.zeros(0, np.int64),) * 3)
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+
 class ByteBpe:
     """Ranks (token bytes to id) and the pattern that splits text before the merges."""
 
@@ -113,6 +161,8 @@ class ByteBpe:
                 found.setdefault(b[-3:], {2, 1}).add(len(b))
         self.sizes = {b: tuple(sorted(n, reverse=True)) for b, n in found.items()}
         self.table_of = PrefixTable(self)
+        self.trie = Trie(self.whole_ranks)
+        self.borders = np.full(1 << PAIR_BITS, -1, dtype=np.int64)
         size = max(self.tokens) + 1
         self.lengths = np.zeros(size, dtype=np.int64)
         for i, b in self.tokens.items():
@@ -195,11 +245,85 @@ class ByteBpe:
         if out is None:
             ids = self.encode_piece(data)
             out = struct.pack(f"<{len(ids)}I", *ids)
+        self.hold(data, out)
+        return out
+
+    def hold(self, data: bytes, out: bytes) -> None:
         if len(data) <= CACHE_BYTES:
             if len(self.cache) >= CACHE_PIECES:
                 self.cache, self.older = {}, self.cache
             self.cache[data] = out
-        return out
+
+    def packed_all(self, pieces: list[bytes]) -> list[bytes]:
+        """:meth:`packed` of many pieces."""
+        ids = [*map(self.cache.get, pieces)]
+        fresh, long = [], []
+        for i in [i for i, held in enumerate(ids) if held is None]:
+            if len(pieces[i]) > CACHE_BYTES:
+                long.append((pieces[i], i))
+            elif (held := self.older.get(pieces[i])) is None:
+                fresh.append(i)
+            else:
+                ids[i] = held
+                self.hold(pieces[i], held)
+        for i, out in zip(fresh, self.fill([pieces[i] for i in fresh])):
+            ids[i] = out
+            self.hold(pieces[i], out)
+        # in order of bytes neighbours share prefixes, whose entries are not made again
+        for p, i in sorted(long):
+            ids[i] = self.packed(p)
+        return ids
+
+    def fit(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """:meth:`compatible` of many pairs."""
+        pair = left << 32 | right
+        slot = ((pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+        held = self.borders[slot]
+        lost = np.flatnonzero(held >> 1 != pair)
+        if len(lost):
+            once, which = np.unique(pair[lost], return_inverse=True)
+            fits = np.fromiter((self.compatible(x >> 32, x & 0xFFFFFFFF) for x in once.tolist()), dtype=np.int64, count=len(once))
+            held[lost] = self.borders[slot[lost]] = pair[lost] << 1 | fits[which]
+        return (held & 1).astype(bool)
+
+    def fill(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed ids of short pieces: the prefix tables of all of them, filled one prefix length after the other."""
+        if not pieces:
+            return []
+        data = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        size = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        stop = np.cumsum(size)
+        begin = stop - size
+        first = np.repeat(begin, size)
+        start, end, token = self.trie.matches(data, np.repeat(stop, size))
+        prefix = end - first[start]
+        order = np.argsort(prefix.astype(np.uint8), kind="stable")
+        start, end, token = start[order], end[order], token[order]
+        steps = np.concatenate([[0], np.cumsum(np.bincount(prefix))]).tolist()
+        last = np.full(len(data), -1, dtype=np.int64)
+        for i, j in zip(steps, steps[1:]):
+            some, new = start[i:j], token[i:j]
+            fits = some == first[some]
+            inner = np.flatnonzero(~fits)
+            before = last[some[inner] - 1]
+            if len(before) and before.min() < 0:
+                break
+            fits[inner] = self.fit(before, new[inner])
+            last[end[i:j][fits] - 1] = new[fits]
+        if last.min() < 0:
+            raise ValueError("the ranks do not cover every byte")
+        # the tokens that the walk back from each end meets
+        met = np.zeros(len(data), dtype=bool)
+        at, low = stop - 1, begin
+        while len(at):
+            met[at] = True
+            at = at - self.lengths[last[at]]
+            more = at >= low
+            at, low = at[more], low[more]
+        ids = last[met].astype("<u4").tobytes()
+        cuts = np.concatenate([[0], np.cumsum(np.add.reduceat(met, begin, dtype=np.int64))]) * 4
+        cuts = cuts.tolist()
+        return [ids[i:j] for i, j in zip(cuts, cuts[1:])]
 
     def encode_packed(self, text: str) -> bytes:
         return b"".join([self.cache.get(p) or self.packed(p) for p in (m.encode() for m in self.pattern.findall(text))])
@@ -226,10 +350,7 @@ class ByteBpe:
         # equal pieces are looked up once
         first, which = distinct_pieces(np.frombuffer(data, dtype=np.uint8), np.asarray(cuts))
         pieces = [data[cuts[i] : cuts[i + 1]] for i in first]
-        ids = [*map(self.cache.get, pieces)]
-        # in order of bytes neighbours share prefixes, whose entries are not made again
-        for p, i in sorted((pieces[i], i) for i, held in enumerate(ids) if held is None):
-            ids[i] = self.packed(p)
+        ids = self.packed_all(pieces)
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), dtype="<u4")
         begin = np.cumsum(sizes) - sizes

@@ -408,6 +408,34 @@ def test_bpe_table_of_every_prefix(bpe, reference):
         assert table.ids() == reference.encode_ordinary(table.data.decode())
 
 
+def test_bpe_fills_many_tables_at_once(bpe):
+    """Pieces of 1 to 64 bytes, of tokens and of any bytes, against the merges and the table of each alone."""
+    rnd = random.Random(8)
+    tokens = [*bpe.ranks]
+    pieces = {b"".join(rnd.choices(tokens, k=rnd.randint(1, 4)))[:64] for _ in range(2000)} | {bytes(rnd.choices(b"ab cdetr\xc3\xa9\xff", k=rnd.randint(1, 64))) for _ in range(500)}
+    pieces = [*pieces | {b"a" * n for n in range(1, 65)} | {bytes([b]) for b in range(256)}]
+    found = [np.frombuffer(x, "<u4").tolist() for x in bpe.fill(pieces)]
+    assert found == [bpe.merged(p) for p in pieces] == [bpe.encode_piece(p) for p in pieces]
+    assert bpe.fill([]) == []
+
+
+def test_bpe_borders_are_right_when_their_places_are_shared(monkeypatch, reference):
+    monkeypatch.setattr(byte_bpe, "PAIR_BITS", 3)
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        small = byte_bpe.ByteBpe.from_file(f.read(), public_tokenizers.PATTERN)
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("abstrevldminghe  é") for _ in range(200)) for _ in range(50)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in small.encode_batch(texts)] == [reference.encode_ordinary(t) for t in texts]
+
+
+def test_bpe_needs_every_byte():
+    few = byte_bpe.ByteBpe({b"a": 0, b"b": 1, b"ab": 2}, public_tokenizers.PATTERN)
+    assert [np.frombuffer(x, "<u4").tolist() for x in few.encode_batch(["ab", "ba", ""])] == [[2], [1, 0], []]
+    for text in ("c", "ac", "ca", "abca"):
+        with pytest.raises(ValueError, match="every byte"):
+            few.encode_batch([text])
+
+
 # 9
 
 
