@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from csvloom.dialect import FLEXIBLE, LITERAL, Dialect
 from csvloom.functions.machine import AFTER_QUOTE, BEGUN, BROKEN, FIELD_START, IN_FIELD, IN_QUOTED, RECORD_START, STATES, range_function, utf8_error
@@ -20,13 +21,26 @@ from csvloom.sources import files
 
 
 def geomean(x: Column) -> Column:
-    return F.exp(F.avg(F.ln(x)))
+    """The geometric mean: 0 if any value is 0, NaN if any is negative; nulls do not count."""
+    log = F.when(x == 0, F.lit(float("-inf"))).when(x < 0, F.lit(float("nan"))).otherwise(F.ln(x))
+    return F.exp(F.avg(log))
+
+
+def quotient(a: Column, b: Column) -> Column:
+    """The quotient as a double; by zero it is infinite, or NaN for 0 / 0."""
+    return F.when(b == 0, a.cast("double") * float("inf")).otherwise(a / b)
+
+
+def total(df: DataFrame, name: str) -> Column:
+    """The sum of a column as a double; whole numbers are summed in 38 digits, beyond what a long holds."""
+    column = F.col(name)
+    return F.sum(column.cast("decimal(38,0)") if isinstance(df.schema[name].dataType, IntegralType) else column).cast("double")
 
 
 def throughput(df: DataFrame, size: str, nanos: str, by: list[str]) -> DataFrame:
     """Geometric mean and total of bytes per microsecond by group."""
-    rate = F.col(size) / F.col(nanos) * 1000
-    return df.groupBy(*by).agg(geomean(rate).alias("geomean"), (F.sum(size) / F.sum(nanos) * 1000).alias("total"), F.count("*").alias("n"))
+    rate = quotient(F.col(size), F.col(nanos)) * 1000
+    return df.groupBy(*by).agg(geomean(rate).alias("geomean"), (quotient(total(df, size), total(df, nanos)) * 1000).alias("total"), F.count("*").alias("n"))
 
 
 def win_tie_loss(df: DataFrame, ours: str, theirs: str, by: list[str], band: float = 0.05) -> DataFrame:

@@ -1,9 +1,13 @@
 """Queries against their SQL on rows that the test tables do not have."""
 
+import math
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
+from csvloom.operators import reports
 from csvloom.plans import queries
 
 TEXTS = [None, "", "plain", "  a b", "a b \n", "a\r", "\r\nb\r\n", "\x01a\x1f", "\n\n", " ", 'a\0"', '"', '""\n,', "x" * 200_000 + " "]
@@ -23,3 +27,17 @@ def same(spark, folder, name, ids, texts, sources=None, sizes=None):
 
 def test_texts_come_back_whole(spark, tmp_path):
     same(spark, tmp_path, "scan_embedded_newlines", [None, *range(1, len(TEXTS))], TEXTS)
+
+
+def test_rates_of_zero_and_beyond_a_long(spark, tmp_path):
+    rows = [("zero", 1, 0), ("zero", 2, 5), ("null", 3, None), ("null", 4, 7), ("none", 5, None), (None, 6, 2), ("large", 2**62, 9), ("large", 2**62, 2**62), ("large", 0, 2**62), ("instant", -1, 3), ("instant", 7, 3)]
+    sources, ids, sizes = map(list, zip(*rows))
+    same(spark, tmp_path, "bench_geomean", ids, ["x"] * len(rows), sources, sizes)
+
+
+def test_negative_rates_have_no_mean(spark):
+    rows = spark.createDataFrame([(-5, 2), (3, 2)], "size long, ns long").withColumn("k", F.lit(1))
+    found = reports.throughput(rows, "size", "ns", ["k"]).first()
+    assert math.isnan(found["geomean"]) and (found["total"], found["n"]) == (-500.0, 2)
+    real = reports.throughput(rows.select("k", (F.col("size") + 5.5).alias("size"), "ns"), "size", "ns", ["k"]).first()
+    assert round(real["total"], 6) == 2250.0
