@@ -101,28 +101,31 @@ def range_function(data: bytes, d: Dialect, block: int = 1 << 16) -> bytes:
     return held
 
 
+@lru_cache(maxsize=64)
+def _first_ends(d: Dialect) -> tuple[re.Pattern, re.Pattern]:
+    """Bytes to the first terminator outside quotes, from a place outside and from one inside."""
+    q, ends = b"\\x%02x" % d.quote, b"".join(b"\\x%02x" % b for b in d.terminators)
+    outside = b"[^%b%b]*+(?:%b[^%b]*+%b[^%b%b]*+)*+[%b]" % (q, ends, q, q, q, q, ends, ends)
+    return re.compile(outside), re.compile(b"[^%b]*+%b" % (q, q) + outside)
+
+
 def _parity_function(data: bytes, d: Dialect, block: int = 1 << 16) -> bytes:
     """The state function where every quote toggles: the number of quotes and the last byte tell the state.
 
     States that such a dialect does not reach go to BROKEN.
     """
-    whole = np.frombuffer(data, dtype=np.uint8)
-    quotes = int(np.count_nonzero(whole == d.quote))
+    quotes = data.count(d.quote)
     last = data[-1]
     outside = FIELD_START if last == d.delimiter else RECORD_START if last in d.terminators else AFTER_QUOTE if last == d.quote else IN_FIELD
-    ends = bytes(d.terminators)
-    content = len(data.rstrip(ends))  # one past the last byte that is not a terminator
+    content = len(data.rstrip(bytes(d.terminators)))  # one past the last byte that is not a terminator
 
     def begins(parity: int) -> bool:
         """Does a record begin after the first terminator outside quotes?"""
         for at in range(0, content, block):
-            some = whole[at : at + block]
-            q = some == d.quote
-            inside = (np.cumsum(q) - q + parity) & 1
-            stop = np.flatnonzero(np.isin(some, d.terminators) & (inside == 0))
-            if len(stop):
-                return int(stop[0]) + at < content
-            parity += int(np.count_nonzero(q))
+            m = _first_ends(d)[parity].match(data, at, at + block)
+            if m is not None:
+                return m.end() <= content
+            parity ^= data.count(d.quote, at, at + block) & 1
         return False
 
     out = bytearray([BROKEN] * STATES)
@@ -139,17 +142,22 @@ class Incomplete(Exception):
     """The bytes at hand end inside a record that goes on."""
 
 
+@lru_cache(maxsize=64)
+def _patterns(d: Dialect) -> tuple[re.Pattern, re.Pattern | None, re.Pattern, re.Pattern]:
+    """What ends plain text, quoted text and comments, and a byte that is no terminator."""
+    esc = lambda *bs: re.compile(b"[" + b"".join(b"\\x%02x" % b for b in bs if b is not None) + b"]")
+    mid_quote = None if d.quote_handling == LITERAL else d.quote
+    quoted_end = esc(d.quote, d.escape) if d.quote is not None else None
+    not_blank = re.compile(b"[^" + b"".join(b"\\x%02x" % b for b in d.terminators) + b"]")
+    return esc(d.delimiter, *d.terminators, mid_quote), quoted_end, esc(*d.comment_ends), not_blank
+
+
 class Scanner:
     """Scans records of a buffer by the grammar; offsets are those of the buffer plus ``base``."""
 
     def __init__(self, d: Dialect) -> None:
         self.d = d
-        esc = lambda *bs: re.compile(b"[" + b"".join(b"\\x%02x" % b for b in bs if b is not None) + b"]")
-        mid_quote = None if d.quote_handling == LITERAL else d.quote
-        self.plain_end = esc(d.delimiter, *d.terminators, mid_quote)
-        self.quoted_end = esc(d.quote, d.escape) if d.quote is not None else None
-        self.comment_end = esc(*d.comment_ends)
-        self.not_blank = re.compile(b"[^" + b"".join(b"\\x%02x" % b for b in d.terminators) + b"]")
+        self.plain_end, self.quoted_end, self.comment_end, self.not_blank = _patterns(d)
 
     def finish(self, data: bytes, at: int, state: int, base: int, final: bool, field_at: int | None = None) -> tuple[list[bytes], int]:
         """From inside a record (state other than RECORD_START and IN_COMMENT) to its end: its fields and where it ends."""

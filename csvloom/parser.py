@@ -80,7 +80,7 @@ class ParserBuilder:
         return self
 
     def concurrency(self, n: int) -> "ParserBuilder":
-        """Tasks that the chunks are dealt to, at most; 0 for one for each chunk."""
+        """Tasks that the chunks are dealt to, at most; 0 for as many as the bytes and the cores ask for."""
         return self._tune(tasks=n or None)
 
     def chunk_size(self, n: int) -> "ParserBuilder":

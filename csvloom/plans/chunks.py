@@ -23,6 +23,12 @@ from csvloom.sources import files
 
 #: Tasks of a scan at most; they take several chunks each beyond it.
 MOST_TASKS = 100_000
+#: Bytes of a task, unless the cores ask for more tasks: small chunks are worked on together.
+TASK = files.CHUNK
+#: Tasks for each core where there are as many chunks.
+TASKS_A_CORE = 4
+#: Rows or bytes that a batch has at least before it leaves the scan.
+ROWS, BYTES = 10_000, 4 << 20
 #: Stands for the state function of a chunk that is a whole file: any records there begin in it.
 WHOLE = bytes(BEGUN + x % BEGUN for x in IDENTITY)
 PLAN = "path string, chunk long, start long, end long, state int, after int, header boolean"
@@ -31,17 +37,32 @@ PLAN = "path string, chunk long, start long, end long, state int, after int, hea
 def chunks(spark: SparkSession, path: str, chunk_size: int, tasks: int | None = None) -> tuple[DataFrame, int]:
     """Rows (path, size, chunk, start, end) of all files, dealt evenly to tasks in file order, and how many tasks.
 
-    The list of files is all that the driver holds.
+    Their number follows the bytes and the cores, not the number of chunks.  The list of files is all that the driver holds.
     """
     found = files.list_files(path)
     total = sum(-(-size // chunk_size) for _, size in found)
-    tasks = max(1, min(total, tasks or MOST_TASKS))
+    wanted = max(-(-sum(size for _, size in found) // TASK), TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    tasks = max(1, min(total, tasks or min(wanted, MOST_TASKS)))
     table = spark.createDataFrame(found or [("", 0)], "path string, size long").where("size > 0")
     each = table.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size - 1) div {chunk_size}"))))
     each = each.withColumn("start", F.col("chunk") * chunk_size).withColumn("end", F.least(F.col("start") + chunk_size, F.col("size")))
     return dealt(each, tasks), tasks
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches, as small chunks would give very many."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    for b in batches:
+        held.append(b)
+        rows, size = rows + b.num_rows, size + b.nbytes
+        if rows >= ROWS or size >= BYTES:
+            yield held[0] if len(held) == 1 else pa.concat_batches(held)
+            held, rows, size = [], 0, 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def dealt(chunked: DataFrame, tasks: int) -> DataFrame:
     return chunked.repartitionByRange(tasks, "path", "chunk").sortWithinPartitions("path", "chunk")
 
@@ -134,7 +155,7 @@ def scan(
     if fields is not None and (n is None or not fields or len(set(fields)) < len(fields) or min(fields) < 0 or max(fields) >= n):
         raise InvalidConfig("fields must be different places below the number of fields")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
                 with files.Window(r["path"]) as w:
@@ -142,6 +163,9 @@ def scan(
                 for made in files.batches(data, d, n, base, r["header"], state, backend, offsets, fields=fields):
                     yield made.append_column("_path", pa.array([r["path"]] * len(made), pa.string())) if offsets else made
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return gathered(parts(batches))
+
     return planned(spark, path, d, chunk_size, tasks).mapInArrow(run, schema(d, n, offsets, fields) + (", _path string" if offsets else ""))
 
 

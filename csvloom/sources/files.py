@@ -17,8 +17,8 @@ from csvloom.functions.machine import BROKEN, IN_COMMENT, IN_FIELD, RECORD_START
 CHUNK = 32 << 20
 #: A record may be this long.
 MAX_RECORD = 1 << 30
-#: Bytes read at once beyond a chunk's end to finish its last record.
-LOOK = 1 << 16
+#: Bytes read at once beyond a chunk's end to finish its last record; fewer at first where the chunk is small.
+LOOK, LEAST_LOOK = 1 << 16, 1 << 12
 
 
 def located(uri: str) -> tuple[fs.FileSystem, str]:
@@ -102,7 +102,7 @@ def region(w: Window, d: Dialect, start: int, end: int, state: int, after: int,
     if begin >= len(data):
         return end, b"", RECORD_START
     if after not in (RECORD_START, BROKEN) and end < w.size:
-        more, step = b"", LOOK
+        more, step = b"", min(LOOK, max(LEAST_LOOK, end - start))
         while True:
             if len(more) > limit:
                 raise RecordTooLong(limit, start)
@@ -149,7 +149,7 @@ def batches(data: bytes, d: Dialect, columns: int | None, base: int, header: boo
             rows = [[f.decode() for f in r] for _, r in held] if text else [r for _, r in held]
             return pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(kind)), *where], ["fields", *named])
         wanted = range(columns) if fields is None else fields
-        cols = [pa.array([r[i] for _, r in held], pa.binary()).cast(kind) for i in wanted]
+        cols = [pa.array([r[i] for _, r in held], pa.binary()).view(kind) for i in wanted]  # the bytes are checked to be UTF-8
         return pa.RecordBatch.from_arrays([*cols, *where], [*(f"_c{i}" for i in wanted), *named])
 
     for record in checked(data, d, columns, base, header, state):

@@ -7,8 +7,9 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
+from csvloom.dialect import Dialect
 from csvloom.operators import reports
-from csvloom.plans import queries
+from csvloom.plans import chunks, queries
 
 TEXTS = [None, "", "plain", "  a b", "a b \n", "a\r", "\r\nb\r\n", "\x01a\x1f", "\n\n", " ", 'a\0"', '"', '""\n,', "x" * 200_000 + " "]
 
@@ -41,3 +42,25 @@ def test_negative_rates_have_no_mean(spark):
     assert math.isnan(found["geomean"]) and (found["total"], found["n"]) == (-500.0, 2)
     real = reports.throughput(rows.select("k", (F.col("size") + 5.5).alias("size"), "ns"), "size", "ns", ["k"]).first()
     assert round(real["total"], 6) == 2250.0
+
+
+def test_chunk_sizes_agree_on_odd_texts(spark, tmp_path):
+    for texts in (TEXTS, [None, None], []):
+        same(spark, tmp_path, "chunk_size_invariance", list(range(len(texts))), texts)
+
+
+def test_tasks_follow_bytes_and_cores_not_chunks(spark, tmp_path):
+    data = "a,b\n" + '"x\n",y\n' * 20_000
+    (tmp_path / "a.csv").write_text(data)
+    rows, tasks = chunks.chunks(spark, str(tmp_path), 64)
+    cores = spark.sparkContext.defaultParallelism
+    assert tasks == chunks.TASKS_A_CORE * cores and rows.count() == -(-len(data) // 64)
+    found = chunks.scan(spark, str(tmp_path), Dialect(), 2, chunk_size=64)
+    assert found.where("_c0 = 'x\\n' and _c1 = 'y'").count() == 20_000
+
+
+def test_batches_of_small_chunks_are_joined():
+    small = [pa.RecordBatch.from_pydict({"a": [i]}) for i in range(25_000)]
+    joined = list(chunks.gathered(iter(small)))
+    assert [b.num_rows for b in joined] == [10_000, 10_000, 5_000] and [x for b in joined for x in b.column(0).to_pylist()] == list(range(25_000))
+    assert list(chunks.gathered(iter([]))) == []
